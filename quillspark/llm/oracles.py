@@ -21,4 +21,19 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        OR (n_words >= 20 AND 100 * top > 30 * n_words) OR word_chars > 40 * n_words) AS kept
 FROM b"""
 
-ORACLES = {"op10_quality_rules": OP10}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+w AS (SELECT r, doc_id, {_WORDS} AS ws FROM d),
+sh AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.r < y.r GROUP BY x.r, y.r),
+pair AS (SELECT a, b FROM shared JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+link AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) JOIN reach ON reach.a = w.r JOIN d o ON o.r = reach.b GROUP BY w.r, w.doc_id, n.n"""
+
+ORACLES = {"op8_jaccard_join": OP8, "op10_quality_rules": OP10}
