@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality, toxicity
+from . import bpe, counting, jaccard, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -33,4 +41,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES = {"op4_packing": op4_packing, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_counts": op1_token_counts, "op4_packing": op4_packing, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
