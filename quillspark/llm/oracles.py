@@ -36,4 +36,18 @@ reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach J
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM w LEFT JOIN n USING (r) JOIN reach ON reach.a = w.r JOIN d o ON o.r = reach.b GROUP BY w.r, w.doc_id, n.n"""
 
-ORACLES = {"op8_jaccard_join": OP8, "op10_quality_rules": OP10}
+_ESCAPE = r"regexp_replace({}, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"
+
+OP2 = rf"""
+WITH c AS (SELECT conv_id, turn, replace(coalesce(role, ''), chr(10), ' ') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length(role || text) + 3 + 4 + 1 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS plain,
+  sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 8 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS escaped,
+  bool_or(regexp_matches(role || text, '</s>|(<|\[)\\+(/?s>|/?INST\])')) AS clash
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  (CASE WHEN clash THEN escaped ELSE plain END)::BIGINT AS formatted_chars, true AS verified FROM g"""
+
+ORACLES = {"op2_chat_formatting": OP2, "op8_jaccard_join": OP8, "op10_quality_rules": OP10}
