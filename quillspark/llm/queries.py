@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counting, jaccard, packing, quality, scoring, toxicity, urls
+from . import bpe, chat, counting, jaccard, packing, quality, scoring, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("x"))
+    return topk.top_k(vectors, "vec_id", "x", F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -71,4 +76,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_chat_formatting": op2_chat_formatting, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_lm_scoring": op5_lm_scoring, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_chat_formatting": op2_chat_formatting, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_lm_scoring": op5_lm_scoring, "op6_topk": op6_topk, "op7_bpe": op7_bpe, "op8_jaccard_join": op8_jaccard_join, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
