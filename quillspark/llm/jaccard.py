@@ -6,13 +6,14 @@ A document is the set of its distinct word shingles.  Shingles are hashed into g
    into more than d groups, they have a group with equal content; so documents of one size class
    that share no group's content can't link.  A group of fewer than two shingles isn't used unless
    a document has too few others for that proof, in which case all its groups are.
-2. R-trees.  Documents whose blocks are connected form clusters, dealt into tiles of bounded size.
-   For each two tiles of a cluster, counts by hash group are points; boxes of nearby points are
+2. R-trees.  In each block, counts by hash group are points of an R-tree; boxes of nearby points are
    compared by the sum over coordinates of the smaller upper bound, which no overlap exceeds, then
-   points by the sum of their minima, and the pairs that remain by their sets.
+   points by the sum of their minima.  Documents connected by pairs that remain form clusters.
+3. Verification.  Clusters are dealt into tiles of bounded size.  For each two tiles of a cluster, finer
+   counts go through the same R-tree join, and pairs that remain are compared by their sets.
 
-Links within a tile pair go out as a spanning forest, and connected components of these are those of
-all links.  Shingles and whole sets are told apart by 64-bit hashes.
+Pairs go out of a block, and links out of a tile pair, as a spanning forest, whose connected components
+are those of all of them.  Shingles and whole sets are told apart by 64-bit hashes.
 
 Defined results: no words, or null text: n_shingles 0, linked with nothing, component_id its own
 doc_id; fewer words than `width`: the whole sequence is the one shingle; a null doc_id links as any
@@ -35,6 +36,7 @@ from .graph import components
 _U = np.uint64
 TILE = 128  # documents of a cluster that are compared as one tile
 LEAF = 16  # points in a leaf of an R-tree
+BLOCK = 4096  # members of a block that are compared at once; larger blocks are cut into tiles of half as many
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -185,38 +187,72 @@ class Forest:
         return i != j
 
 
-def join_tiles(left: list[np.ndarray], right: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles, or within one; indexes run on from left to right."""
-    sets = left + (right or [])
-    sizes = np.array([len(s) for s in sets], np.int64)
-    dims = 1 << max(5, min(10, int(sizes.max()).bit_length() + 1))
-    counts = np.zeros((len(sets), dims), np.int32)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s >> _U(7)).astype(np.int64) & (dims - 1), minlength=dims)
-    n = len(left)
+def dimensions(size: int) -> int:
+    """Groups of a document's count vector in the blocks: a power of two, at least an eighth of its shingles,
+    with room for the next size class."""
+    return 1 << max(5, (size // 4).bit_length())
+
+
+def count_vector(shingles: np.ndarray, dims: int) -> np.ndarray:
+    return np.bincount((shingles >> _U(7)).astype(np.int64) & (dims - 1), minlength=dims)
+
+
+def fold(counts: np.ndarray, dims: int) -> np.ndarray:
+    """A count vector over fewer groups."""
+    return counts.reshape(-1, dims).sum(0)
+
+
+def pairs_within_bound(counts: np.ndarray, sizes: np.ndarray, n_left: int | None, t: Threshold):
+    """(a, b, most shingles they can share) for pairs that the R-trees' bounds leave: of points up to
+    n_left and after, or of all where it is None."""
+    split = n_left is not None
+    n = n_left if split else len(sizes)
     trees = [build_tree(counts[:n], sizes[:n])]
-    if right is not None:
+    if split:
         trees.append(build_tree(counts[n:], sizes[n:]))
-    forest, out = Forest(len(sets)), []
     for p, q in tree_pairs(trees[0], trees[-1], t):
-        q = q + n if right is not None else q
+        q = q + n if split else q
         overlap = np.zeros((len(p), len(q)), np.int64)
         for level in range(1, int(min(counts[p].max(), counts[q].max())) + 1):  # sums of minima, level by level
             x, y = (counts[p] >= level).astype(np.float32), (counts[q] >= level).astype(np.float32)
             overlap += (x @ y.T).astype(np.int64)
         union = sizes[p][:, None] + sizes[q][None, :] - overlap
         for i, j in np.argwhere(t.den * overlap >= t.num * union):
-            a, b = int(p[i]), int(q[j])
-            if (right is not None or a < b) and forest.root(a) != forest.root(b):
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if t.linked(both, len(sets[a]), len(sets[b])):
-                    forest.join(a, b)
-                    out.append((a, b))
+            if split or p[i] < q[j]:
+                yield int(p[i]), int(q[j])
+
+
+def join_tiles(left: list[np.ndarray], right: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two tiles, or within one; indexes run on from left to right."""
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    dims = 1 << max(5, min(10, int(sizes.max()).bit_length() + 1))
+    counts = np.stack([count_vector(s, dims) for s in sets])
+    forest, out = Forest(len(sets)), []
+    for a, b in pairs_within_bound(counts, sizes, len(left) if right is not None else None, t):
+        if forest.root(a) != forest.root(b):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if t.linked(both, len(sets[a]), len(sets[b])):
+                forest.join(a, b)
+                out.append((a, b))
     return out
 
 
-def _candidates(docs: DataFrame, width: int, t: Threshold, shingles: int) -> DataFrame:
-    """(a, b): keys of different sets that share a block, as a star for each block."""
+def block_forest(left: list[np.ndarray], right: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of count vectors that can be linked."""
+    vectors = left + (right or [])
+    sizes = np.array([v.sum() for v in vectors], np.int64)
+    dims = min(len(v) for v in vectors)
+    counts = np.stack([fold(v, dims) for v in vectors])
+    if len(vectors) == 2:
+        both = int(np.minimum(counts[0], counts[1]).sum())
+        return [(0, 1)] if t.linked(both, int(sizes[0]), int(sizes[1])) else []
+    forest = Forest(len(vectors))
+    return [(a, b) for a, b in pairs_within_bound(counts, sizes, len(left) if right is not None else None, t) if forest.join(a, b)]
+
+
+def _candidates(docs: DataFrame, vectors: DataFrame, width: int, t: Threshold, shingles: int) -> DataFrame:
+    """(a, b): keys of different sets that share a block and pass its bounds, as a forest for each block."""
     buckets = max(256, shingles // 500_000)
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
 
@@ -255,23 +291,51 @@ def _candidates(docs: DataFrame, width: int, t: Threshold, shingles: int) -> Dat
         for batch in batches:
             for b, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
                 by.setdefault(b, []).append(np.frombuffer(pairs.as_buffer(), _U).reshape(-1, 2))
-        seen = np.zeros((0, 2), np.int64)
         for parts in by.values():
             pairs = np.concatenate(parts)
-            key = pairs[:, 1].view(np.int64) if pairs.flags.c_contiguous else np.ascontiguousarray(pairs[:, 1]).view(np.int64)
+            parts.clear()
+            key = np.ascontiguousarray(pairs[:, 1]).view(np.int64)
             order = np.lexsort((key, pairs[:, 0]))
             sig, key = pairs[order, 0], key[order]
-            head = np.concatenate([[True], sig[1:] != sig[:-1]])
-            hub = key[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            edges = np.stack([hub, key], 1)[hub != key]
-            if len(edges):
-                seen = np.unique(np.concatenate([seen, edges]), axis=0)
-            parts.clear()
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])  # copies met in several tasks
+            sig, key = sig[fresh], key[fresh]
+            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(head, len(sig)))
+            many = np.repeat(size > 1, size)
+            sig, key, of = sig[many], key[many], np.repeat(size, size)[many]
+            place = np.arange(len(sig)) - np.repeat(np.cumsum(size[size > 1]) - size[size > 1], size[size > 1])
+            small = of <= BLOCK
+            yield from _member_rows(sig[small], key[small], 0, 0, 0)
+            for s in np.unique(sig[~small]):
+                at = (sig == s) & ~small
+                tile = place[at] // (BLOCK // 2)
+                for other in range(int(tile.max()) + 1):
+                    yield from _member_rows(sig[at], key[at], np.minimum(tile, other), np.maximum(tile, other), tile)
+
+    def refine(batches):
+        done: set[tuple[int, int]] = set()
+        for left, right in _groups(batches, lambda v: np.frombuffer(v, "<u2").astype(np.int64)):
+            names = [k for k, _ in left + right]
+            if len(names) == 2 and (names[0], names[1]) in done:
+                continue
+            pairs = [(names[a], names[b]) for a, b in block_forest([v for _, v in left], [v for _, v in right] if right else None, t)]
+            pairs = [p for p in pairs if p not in done]
+            done.update(pairs)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
     dealt = docs.select("text").mapInArrow(emit, "bucket int, pairs binary").repartition(spread, "bucket")
-    return dealt.mapInArrow(collide, "a long, b long")
+    members = stage_table(dealt.mapInArrow(collide, "cluster long, lo int, hi int, tile int, key long"), "block_members")
+    points = members.join(vectors, "key").select("cluster", "lo", "hi", "tile", "key", "vector")
+    return points.repartition(spread, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "key").mapInArrow(refine, "a long, b long")
+
+
+def _member_rows(block, key, lo, hi, tile):
+    n = len(block)
+    for i in range(0, n, 50_000):
+        part = slice(i, min(n, i + 50_000))
+        columns = [np.broadcast_to(np.asarray(x, np.int32), n)[part].copy() for x in (lo, hi, tile)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[part].view(np.int64)), *map(pa.array, columns), pa.array(key[part])], ["cluster", "lo", "hi", "tile", "key"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -284,7 +348,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def summarise(batches):
         for rows, data, offsets in slices(batches, "text"):
             sets = shingle_sets(data, offsets, width)
-            yield with_columns(rows, ["doc_id"], n=np.array([len(s) for s in sets], np.int64), key=pa.array([set_key(s) for s in sets], pa.int64()))
+            vectors = pa.array([np.minimum(count_vector(s, dimensions(len(s))), 65535).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary())
+            yield with_columns(rows, ["doc_id"], n=np.array([len(s) for s in sets], np.int64), key=pa.array([set_key(s) for s in sets], pa.int64()), vector=vectors)
 
     def rebuild(batches):
         for rows, data, offsets in slices(batches, "text"):
@@ -294,18 +359,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield with_columns(rows, ["cluster", "tiles", "key"], shingles=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).filter(ok)
 
     def compare(batches):
-        for sides in _groups(batches):
-            left, right = sides
+        for left, right in _groups(batches, lambda v: np.frombuffer(v, "<u8")):
             names = [k for k, _ in left + right]
             links = join_tiles([s for _, s in left], [s for _, s in right] if right else None, t)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], ["a", "b"])
 
-    summary = stage_table(docs.mapInArrow(summarise, f"doc_id {kind}, n long, key long"), "shingle_counts")
+    summary = stage_table(docs.mapInArrow(summarise, f"doc_id {kind}, n long, key long, vector binary"), "shingle_counts")
     shingles = summary.agg(F.sum("n")).first()[0] or 0
-    clusters = stage_table(components(_candidates(docs, width, t, shingles)), "clusters")
+    first = stage_table(summary.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("vector").alias("vector")), "first_ids")
+    clusters = stage_table(components(_candidates(docs, first.select("key", "vector"), width, t, shingles)), "clusters")
+    first = first.select("key", "doc_id")
     tiles = stage_table(clusters.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles")), "cluster_sizes")
-    first = stage_table(summary.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "first_ids")
     wanted = clusters.join(tiles, "root").select(F.col("node").alias("key"), F.col("root").alias("cluster"), "tiles").join(first, "key")
     sets = docs.join(wanted, "doc_id").select("text", "cluster", "tiles", "key").mapInArrow(rebuild, "cluster long, tiles long, key long, shingles binary")
     tile = F.pmod(F.xxhash64("key"), F.col("tiles"))
@@ -322,18 +387,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("doc_id", doc_id)
 
 
-def _groups(batches):
-    """From rows sorted by (cluster, lo, hi): the two sides of each tile pair, as lists of (key, shingles)."""
+def _groups(batches, decode):
+    """From rows sorted by (cluster, lo, hi): the two sides of each tile pair, as lists of (key, decoded value)."""
     at, left, right = None, [], []
     for batch in batches:
-        c, lo, hi, tile, key = (batch.column(i).to_pylist() for i in range(5))
-        for i, shingles in enumerate(batch.column(5)):
+        c, lo, hi, tile, key, value = (batch.column(i).to_pylist() for i in range(6))
+        for i in range(len(c)):
             if at != (c[i], lo[i], hi[i]):
-                if len(left) + len(right) > 1 and (right or at[1] == at[2]):
+                if left and (right or (at[1] == at[2] and len(left) > 1)):
                     yield left, right
                 at, left, right = (c[i], lo[i], hi[i]), [], []
-            (left if tile[i] == lo[i] else right).append((key[i], np.frombuffer(shingles.as_py(), "<u8")))
-    if len(left) + len(right) > 1 and (right or at[1] == at[2]):
+            (left if tile[i] == lo[i] else right).append((key[i], decode(value[i])))
+    if left and (right or (at[1] == at[2] and len(left) > 1)):
         yield left, right
 
 
