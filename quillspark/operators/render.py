@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import binary, markup, numbers, refs, text
+from ..functions.text import let
 
 
 def _last(array: Column) -> Column:
@@ -41,10 +42,13 @@ def _plain(runs: Column) -> Column:
 
 def table_markdown(rows: Column) -> Column:
     """Rows of cell texts (escaped here) as a table whose header is the first row; ragged rows are padded."""
-    n = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, text.escape_pipe), F.array_repeat(F.lit(""), n - F.size(r))), " | "), F.lit(" |\n"))
-    body = F.transform(rows, lambda r, i: F.concat(line(r), F.when(i == 0, F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), n), F.lit("\n"))).otherwise("")))
-    return F.when(n > 0, F.concat(F.array_join(body, ""), F.lit("\n"))).otherwise("")
+
+    def render(rows, n):
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, text.escape_pipe), F.array_repeat(F.lit(""), n - F.size(r))), " | "), F.lit(" |\n"))
+        body = F.transform(rows, lambda r, i: F.concat(line(r), F.when(i == 0, F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), n), F.lit("\n"))).otherwise("")))
+        return F.when(n > 0, F.concat(F.array_join(body, ""), F.lit("\n"))).otherwise("")
+
+    return let(rows, lambda rows: let(F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)), lambda n: render(rows, n)))
 
 
 # ── Word ──
@@ -81,7 +85,9 @@ def docx_markdown(record: Column, images: bool = False) -> Column:
     pictures = docx_images(record)
 
     def paragraph(b):
-        t = text.rtrim_u(markup.runs_markdown(bind(b["runs"], links)))
+        return let(text.rtrim_u(markup.runs_markdown(bind(b["runs"], links))), lambda t: styled(b, t))
+
+    def styled(b, t):
         level = F.coalesce(markup.heading_level(b["p_style"]), F.lit(0))
         item = F.when(b["ilvl"].rlike(r"\A\+?\d+\z"), b["ilvl"].try_cast("int"))
         return (
@@ -124,7 +130,6 @@ def dense(cells: Column, width: Column, value) -> Column:
 
 def xlsx_sheets(record: Column) -> Column:
     """Visible sheets in workbook order with a part: name, dense rows, links applied."""
-    is_date = date_styles(record["xfs"], record["num_formats"])
 
     def part_of(s):
         target = _first(F.filter(record["rels"], lambda r: r["rid"] == s["rid"]))["target"]
@@ -133,17 +138,18 @@ def xlsx_sheets(record: Column) -> Column:
     def linked(value, i, k, part):
         links = links_of(part["rels"])
         mine = F.filter(part["links"], lambda x: (refs.row_index(x["ref"]) == i) & (refs.col_index(x["ref"]) == k))
-        return F.when(value == "", value).otherwise(F.aggregate(mine, value, lambda v, x: F.coalesce(F.concat(F.lit("["), v, F.lit("]("), target_of(links, x["rid"]), F.lit(")")), v)))
+        return let(value, lambda value: F.when(value == "", value).otherwise(F.aggregate(mine, value, lambda v, x: F.coalesce(F.concat(F.lit("["), v, F.lit("]("), target_of(links, x["rid"]), F.lit(")")), v))))
 
-    def rows(part):
+    def rows(part, is_date):
         width = F.coalesce(F.array_max(F.transform(part["rows"], lambda r: F.array_max(F.transform(r["cells"], lambda c: c["col"])))), F.lit(-1)) + 1
-        grid = F.transform(part["rows"], lambda r: dense(r["cells"], width, lambda c: xlsx_value(c, record["shared"], is_date)))
-        with_links = F.transform(grid, lambda r, i: F.transform(r, lambda v, k: linked(v, i, k, part)))
-        return F.when(F.size(part["links"]) > 0, with_links).otherwise(grid)
+        grid = let(width, lambda n: F.transform(part["rows"], lambda r: dense(r["cells"], n, lambda c: xlsx_value(c, record["shared"], is_date))))
+        with_links = lambda g: F.transform(g, lambda r, i: F.transform(r, lambda v, k: linked(v, i, k, part)))
+        return let(grid, lambda g: F.when(F.size(part["links"]) > 0, with_links(g)).otherwise(g))
 
     shown = F.filter(record["sheets"], lambda s: (s["state"] != "hidden") & (s["name"] != "") & (s["rid"] != ""))
     found = F.filter(F.transform(shown, lambda s: F.struct(s["name"].alias("name"), part_of(s).alias("part"))), lambda s: s["part"].isNotNull())
-    return F.transform(found, lambda s: F.struct(s["name"].alias("name"), rows(s["part"]).alias("rows")))
+    styles = date_styles(record["xfs"], record["num_formats"])
+    return let(styles, lambda d: F.transform(found, lambda s: F.struct(s["name"].alias("name"), rows(s["part"], d).alias("rows"))))
 
 
 def xls_value(cell: Column, sst: Column, is_date: Column) -> Column:
@@ -153,14 +159,13 @@ def xls_value(cell: Column, sst: Column, is_date: Column) -> Column:
 
 def xls_sheets(record: Column) -> Column:
     """Visible worksheets: name, dense rows at their absolute positions."""
-    is_date = date_styles(record["xfs"], record["formats"])
 
-    def rows(s):
+    def rows(s, is_date):
         width = F.coalesce(F.array_max(F.transform(s["rows"], lambda r: F.array_max(F.transform(r, lambda c: c["col"])))), F.lit(-1)) + 1
-        return F.transform(s["rows"], lambda r: dense(r, width, lambda c: xls_value(c, record["sst"], is_date)))
+        return let(width, lambda n: F.transform(s["rows"], lambda r: dense(r, n, lambda c: xls_value(c, record["sst"], is_date))))
 
     shown = F.filter(record["sheets"], lambda s: (s["visibility"] == 0) & (s["sheet_type"] == 0))
-    return F.transform(shown, lambda s: F.struct(s["name"].alias("name"), rows(s).alias("rows")))
+    return let(date_styles(record["xfs"], record["formats"]), lambda d: F.transform(shown, lambda s: F.struct(s["name"].alias("name"), rows(s, d).alias("rows"))))
 
 
 def is_empty_sheet(rows: Column) -> Column:
@@ -170,30 +175,34 @@ def is_empty_sheet(rows: Column) -> Column:
 def sheets_plain(sheets: Column) -> Column:
     """TSV; a header line for each sheet if there are several, empty ones included in the count."""
 
-    def one(s, i):
+    def one(sheets, s, i):
         lines = F.filter(F.transform(s["rows"], lambda r: text.rtrim_u(F.array_join(r, "\t"))), lambda t: t != "")
         header = F.when(F.size(sheets) > 1, F.concat(F.when(i > 0, "\n").otherwise(""), F.lit("--- "), s["name"], F.lit(" ---\n"))).otherwise("")
         return F.when(is_empty_sheet(s["rows"]), "").otherwise(F.concat(header, F.array_join(F.transform(lines, lambda t: F.concat(t, F.lit("\n"))), "")))
 
-    return F.array_join(F.transform(sheets, one), "")
+    return let(sheets, lambda all_: F.array_join(F.transform(all_, lambda s, i: one(all_, s, i)), ""))
 
 
 def crop(rows: Column) -> Column:
     """Without trailing empty rows and outer empty columns; interior empty ones stay.  No rows if all is empty."""
     filled = F.transform(rows, lambda r: F.filter(F.transform(r, lambda c, k: F.when(~text.is_blank(c), k)), lambda k: k.isNotNull()))
-    last_row = F.array_max(F.transform(filled, lambda ks, i: F.when(F.size(ks) > 0, i)))
-    first, last = F.array_min(F.transform(filled, F.array_min)), F.array_max(F.transform(filled, F.array_max))
-    kept = F.transform(F.slice(rows, F.lit(1), last_row + 1), lambda r: F.transform(F.sequence(first, last), lambda k: F.coalesce(F.get(r, k), F.lit(""))))
-    return F.when(last_row.isNull(), F.array().cast("array<array<string>>")).otherwise(kept)
+
+    def edges(f):
+        return F.struct(F.array_max(F.transform(f, lambda ks, i: F.when(F.size(ks) > 0, i))).alias("last_row"), F.array_min(F.transform(f, F.array_min)).alias("first"), F.array_max(F.transform(f, F.array_max)).alias("last"))
+
+    def cut(e):
+        kept = F.transform(F.slice(rows, F.lit(1), e["last_row"] + 1), lambda r: F.transform(F.sequence(e["first"], e["last"]), lambda k: F.coalesce(F.get(r, k), F.lit(""))))
+        return F.when(e["last_row"].isNull(), F.array().cast("array<array<string>>")).otherwise(kept)
+
+    return let(filled, lambda f: let(edges(f), cut))
 
 
 def sheets_markdown(sheets: Column) -> Column:
-    def one(s):
-        rows = crop(s["rows"])
+    def one(sheets, s):
         header = F.when(F.size(sheets) > 1, F.concat(F.lit("## "), s["name"], F.lit("\n\n"))).otherwise("")
-        return F.when(F.size(rows) == 0, "").otherwise(F.concat(header, table_markdown(rows)))
+        return let(crop(s["rows"]), lambda rows: F.when(F.size(rows) == 0, "").otherwise(F.concat(header, table_markdown(rows))))
 
-    return F.array_join(F.transform(sheets, one), "")
+    return let(sheets, lambda all_: F.array_join(F.transform(all_, lambda s: one(all_, s)), ""))
 
 
 def _numbered(pictures: Column) -> Column:
@@ -206,7 +215,7 @@ def xlsx_images(record: Column) -> Column:
     path = lambda s: refs.part_path(_first(F.filter(record["rels"], lambda r: r["rid"] == s["rid"]))["target"], "xl")
     pictures = F.flatten(F.transform(shown, lambda s: F.coalesce(_first(F.filter(record["parts"], lambda p: p["path"] == path(s)))["pictures"], F.array().cast("array<binary>"))))
     images = F.filter(_numbered(pictures), lambda x: x["mime"].isNotNull())
-    return F.concat(F.array_join(F.transform(images, lambda x: F.concat(binary.image_inline(x["label"]), F.lit("\n\n"))), ""), _definitions(images))
+    return let(images, lambda found: F.concat(F.array_join(F.transform(found, lambda x: F.concat(binary.image_inline(x["label"]), F.lit("\n\n"))), ""), _definitions(found)))
 
 
 # ── slides ──
@@ -236,10 +245,13 @@ def slides_of(record: Column) -> Column:
 
 
 def slides_plain(slides: Column) -> Column:
+    return let(slides, _slides_plain)
+
+
+def _slides_plain(slides: Column) -> Column:
     def paragraph(p):
-        t = text.trim_u(_plain(p["runs"]))
         marker = F.when(p["bullet"].isNull(), "").otherwise(markup.list_marker(p["bullet"], p["level"]))
-        return F.when(t == "", "").otherwise(F.concat(marker, t, F.lit("\n")))
+        return let(text.trim_u(_plain(p["runs"])), lambda t: F.when(t == "", "").otherwise(F.concat(marker, t, F.lit("\n"))))
 
     def slide(s, i):
         header = F.when(F.size(slides) > 1, F.concat(F.when(i > 0, "\n").otherwise(""), F.lit("--- Slide "), s["number"].cast("string"), F.lit(" ---\n"))).otherwise("")
@@ -250,8 +262,10 @@ def slides_plain(slides: Column) -> Column:
 
 def shape_markdown(paragraphs: Column, many: Column) -> Column:
     """Paragraphs (text, heading, bullet, level) of one shape; a blank line closes a list."""
-    kept = F.filter(paragraphs, lambda p: p["text"] != "")
+    return let(F.filter(paragraphs, lambda p: p["text"] != ""), lambda kept: _shape_markdown(kept, many))
+
 
+def _shape_markdown(kept: Column, many: Column) -> Column:
     def piece(p, i):
         after_list = F.when(F.get(kept, i - 1)["bullet"].isNotNull() & (i > 0), "\n").otherwise("")
         level = F.when(many, F.least(p["heading"] + 2, F.lit(6))).otherwise(p["heading"])
@@ -266,8 +280,12 @@ def shape_markdown(paragraphs: Column, many: Column) -> Column:
 
 
 def slides_markdown(slides: Column, images: bool = False) -> Column:
+    numbered = lambda all_: _numbered(F.flatten(F.transform(all_, lambda s: s["pictures"])))
+    return let(slides, lambda all_: let(numbered(all_), lambda pictures: _slides_markdown(all_, pictures, images)))
+
+
+def _slides_markdown(slides: Column, pictures: Column, images: bool) -> Column:
     many = F.size(slides) > 1
-    pictures = _numbered(F.flatten(F.transform(slides, lambda s: s["pictures"])))
 
     def slide(s, i):
         texts = lambda ps: F.transform(ps, lambda p: F.struct(text.trim_u(markup.runs_markdown(p["runs"])).alias("text"), p["heading"].alias("heading"), p["bullet"].alias("bullet"), p["level"].alias("level")))
@@ -291,20 +309,22 @@ def slides_markdown(slides: Column, images: bool = False) -> Column:
 def pages_plain(pages: Column) -> Column:
     """Cleaned pages, empty ones dropped; null if none is left."""
     kept = F.filter(F.transform(pages, text.clean_page), lambda p: p != "")
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
+    return F.nullif(F.array_join(kept, "\n"), F.lit(""))
 
 
 def pages_markdown(pages: Column) -> Column:
     """As pages_plain(), under "## Page N" with the original numbers if several are left."""
     kept = F.filter(F.transform(pages, lambda p, i: F.struct((i + 1).alias("number"), text.clean_page(p).alias("text"))), lambda p: p["text"] != "")
-    many = F.array_join(F.transform(kept, lambda p: F.concat(F.lit("## Page "), p["number"].cast("string"), F.lit("\n\n"), p["text"])), "\n")
-    return F.when(F.size(kept) == 1, _first(kept)["text"]).when(F.size(kept) > 1, many)
+    many = lambda k: F.array_join(F.transform(k, lambda p: F.concat(F.lit("## Page "), p["number"].cast("string"), F.lit("\n\n"), p["text"])), "\n")
+    return let(kept, lambda k: F.when(F.size(k) == 1, _first(k)["text"]).when(F.size(k) > 1, many(k)))
 
 
 def text_markdown(c: Column) -> Column:
     """Structure inferred from plain text: tab-separated runs of lines, numbered headings, subheadings."""
-    raw = text.lines(c)
-    trimmed = F.transform(raw, text.trim_u)
+    return let(text.lines(c), lambda raw: let(F.transform(raw, text.trim_u), lambda trimmed: _lines_markdown(raw, trimmed)))
+
+
+def _lines_markdown(raw: Column, trimmed: Column) -> Column:
     tabbed = lambda i: F.coalesce(F.contains(F.get(trimmed, i), F.lit("\t")), F.lit(False))
     blank = lambda i: F.coalesce(F.get(trimmed, i), F.lit("")) == ""
 
@@ -313,15 +333,13 @@ def text_markdown(c: Column) -> Column:
         tabs = F.char_length(line) - F.char_length(F.replace(line, F.lit("\t"), F.lit("")))
         run = (tabbed(i - 1) & (i > 0)) | tabbed(i + 1)
         bare = text.trim_u(F.replace(t, F.lit("\t"), F.lit(" ")))
-        heading = text.numbered_heading(t)
         alone = ((i == 0) | blank(i - 1)) & blank(i + 1)
+        block = F.when(text.subheading_shape(t) & alone, F.concat(F.lit("**"), t, F.lit("**"))).otherwise(t)
         return (
             F.when(t == "", "")
             .when(tabbed(i) & (run | (tabs >= 5)), text.tab_line_markdown(line))
-            .when(tabbed(i), F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n\n"))))
-            .when(heading.isNotNull(), F.concat(heading, F.lit("\n\n")))
-            .when(text.subheading_shape(t) & alone, F.concat(F.lit("**"), t, F.lit("**\n\n")))
-            .otherwise(F.concat(t, F.lit("\n\n")))
+            .when(tabbed(i), let(bare, lambda b: F.when(b == "", "").otherwise(F.concat(b, F.lit("\n\n")))))
+            .otherwise(F.concat(F.coalesce(text.numbered_heading(t), block), F.lit("\n\n")))
         )
 
     return F.array_join(F.transform(trimmed, piece), "")
