@@ -20,6 +20,7 @@ repeated rows give equal results; long texts are encoded whole; other columns ar
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import heapq
 import re
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import slices, with_columns
 
-BLOCK_BYTES = 8 << 20
-REMEMBERED = 200_000  # pieces kept from block to block
+BLOCK_BYTES = 4 << 20
+REMEMBERED = 500_000  # pieces that a Python worker keeps from block to block
 LONG_PIECE = 64  # longer ones aren't kept
 _PLAIN = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -203,6 +204,13 @@ class Encoder:
                 self.names[p], self.raw[p] = " ".join([names[w] for w in ws]), b"".join([raw[w] for w in ws])
 
 
+@functools.lru_cache(1)
+def encoder(name: str) -> Encoder:
+    """A Python worker's encoder.  It makes millions of strings and no cycles, so the collector rests."""
+    gc.disable()
+    return Encoder(name)
+
+
 def _blocks(batches, column: str):
     for rows, data, _ in slices(batches, column, BLOCK_BYTES):
         yield rows, [t or "" for t in rows.column(rows.schema.get_field_index(column)).to_pylist()]
@@ -213,7 +221,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_na
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        coder = Encoder(ranks_name)
+        coder = encoder(ranks_name)
         for rows, texts in _blocks(batches, "text"):
             yield with_columns(rows, ["doc_id"], ids=pa.array([np.array(s.split(), np.int32) for s, _ in coder.encode(texts)], pa.list_(pa.int32())))
 
@@ -238,7 +246,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        coder = Encoder(ranks_name)
+        coder = encoder(ranks_name)
         for rows, texts in _blocks(batches, "text"):
             out = coder.encode(texts)
             yield with_columns(
