@@ -5,11 +5,11 @@ A conversation's turns, in the order of (turn, role, text), are rendered as
     <s>[INST] role\\ntext</s>   for any role but the assistant's
     <s>[/INST] role\\ntext</s>  for the assistant's
 
-The control strings are <s>, </s>, [INST] and [/INST].  Inside a role or text, a control string is
-escaped by a backslash after its first character, and one that already has backslashes there gets one
-more, so unescaping takes one away and nothing is lost.  A turn is first rendered as it is; the
-deterministic parser reads the rendered conversation back, and turns of conversations that don't come
-out identical are rendered escaped and parsed again; `verified` holds the last comparison.
+The control strings are <s>, </s>, [INST] and [/INST]; the grammar allows none inside a role or text.
+There, a control string is escaped by a backslash after its first character, and one that already has
+backslashes there gets one more, so unescaping takes one away and nothing is lost.  A conversation is
+first rendered as it is and read back by the deterministic parser; one that breaks the grammar, or
+doesn't come out identical, is rendered escaped and parsed again; `verified` holds the last comparison.
 
 The loss mask covers the parsed assistant texts.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, USER, ASSISTANT = "<s>", "</s>", "[INST] ", "[/INST] "
 _CONTROL = r"(<|\[)(\\*)(/?s>|/?INST\])"
 _ESCAPED = r"(<|\[)\\(\\*)(/?s>|/?INST\])"
+_BARE = r"(<|\[)(/?s>|/?INST\])"
 
 
 def escape(text: Column) -> Column:
@@ -44,10 +45,14 @@ def render(role: Column, text: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """Array of (role, text) read back from a rendered conversation; null where it breaks the grammar."""
     parts = F.split(formatted, F.lit(CLOSE), -1)
-    turn_pattern = r"(?s)\A<s>\[/?INST\] ([^\n]*)\n(.*)\z"
+    pattern = r"(?s)\A<s>\[/?INST\] ([^\n]*)\n(.*)\z"
+    field = lambda p, k: F.regexp_extract(p, pattern, k)
     turns = F.transform(
         F.slice(parts, 1, F.size(parts) - 1),
-        lambda p: F.when(p.rlike(turn_pattern), F.struct(unescape(F.regexp_extract(p, turn_pattern, 1)).alias("role"), unescape(F.regexp_extract(p, turn_pattern, 2)).alias("text"))),
+        lambda p: F.when(
+            p.rlike(pattern) & ~field(p, 1).rlike(_BARE) & ~field(p, 2).rlike(_BARE),
+            F.struct(unescape(field(p, 1)).alias("role"), unescape(field(p, 2)).alias("text")),
+        ),
     )
     return F.when((F.element_at(parts, -1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
 

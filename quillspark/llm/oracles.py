@@ -45,7 +45,7 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum(length(role || text) + 3 + 4 + 1 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS plain,
   sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 8 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS escaped,
-  bool_or(regexp_matches(role || text, '</s>|(<|\[)\\+(/?s>|/?INST\])')) AS clash
+  bool_or(regexp_matches(role, '(<|\[)\\*(/?s>|/?INST\])') OR regexp_matches(text, '(<|\[)\\*(/?s>|/?INST\])')) AS clash
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   (CASE WHEN clash THEN escaped ELSE plain END)::BIGINT AS formatted_chars, true AS verified FROM g"""

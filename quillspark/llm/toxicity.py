@@ -3,7 +3,7 @@
 Each labelled text that names a group is paired with copies in which that identity term is swapped
 for others and for neutral nouns; the loss adds the squared change of score over these pairs, so a
 mention of a group moves a score no further than a neutral noun does.  An L1 term keeps only words
-that carry the label.
+that carry the label; it is the weaker, the more surely a word's share differs between the classes.
 
 The fit reads a bounded sample: at most `max_rows` labelled rows, chosen by a hash of doc_id, and
 the `max_features` words that differ most between the classes.  Scoring reads every whole text.
@@ -33,13 +33,19 @@ immigrant immigrants refugee refugees disabled deaf blind elderly old young""".s
 NEUTRAL = "person people someone somebody".split()
 _EDGE = string.punctuation + "«»“”„‘’…¿¡–—"
 HELD_OUT_MOD = 5
+STEMS = (4, 5, 6, 7)
+#: Standard errors between the classes' shares from which a word's L1 penalty falls.
+SURE = 4.0
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words of a text, lower case, without punctuation at either end; and the first four
-    characters of longer ones, as `word*`, for stems that take many endings."""
+    """The distinct words of a text, lower case, without punctuation at either end; and the first four to
+    seven characters of longer ones, as `word*`, for stems that take many endings."""
     words = {w.strip(_EDGE) for w in set(text.lower().split())} - {""}
-    return words | {w[:4] + "*" for w in words if len(w) > 4}
+    out = set(words)
+    for k in STEMS:
+        out.update([w[:k] + "*" for w in words if len(w) > k])
+    return out
 
 
 def remainder(doc_id: str, mod: int):
@@ -61,34 +67,49 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def _solve(rows: list[list[int]], y: np.ndarray, words: list[str], l1: float, swap: float, steps: int) -> tuple[np.ndarray, float]:
-    """Proximal gradient steps (FISTA) on mean log loss + l1 |w| + swap * mean squared change under a swap."""
+def _solve(rows: list[list[int]], y: np.ndarray, words: list[str], l1, swap: float, steps: int) -> tuple[np.ndarray, float]:
+    """Proximal gradient steps (FISTA) on mean log loss + l1 |w| + swap * mean squared change under a swap.
+
+    A term's features are its word and its stems, so a swap takes all of them along."""
     n, f = len(rows), len(words)
     x = np.zeros((n, f), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
+    n1 = max(1.0, y.sum())
+    n0 = max(1.0, n - y.sum())
+    p1, p0, p = x[y == 1].sum(0) / n1, x[y != 1].sum(0) / n0, (x.sum(0) + 1) / (n + 2)
+    sure = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    l1 = l1 * np.minimum(1, (SURE / np.maximum(sure, 1e-9)) ** 2)
     index = {w: k for k, w in enumerate(words)}
-    terms, neutral = [index[t] for t in IDENTITY if t in index], [index[t] for t in NEUTRAL if t in index]
-    pairs: dict[tuple[int, int], int] = {}  # (term, what it is swapped with; -1: a noun that is no feature): texts
-    for a in terms:
-        if texts := int(x[:, a].sum()):
-            for b in [*terms, *neutral, -1]:
-                if a != b:
-                    pairs[a, b] = texts
-    a, b, c = np.array([(i, j, k) for (i, j), k in pairs.items()] or np.zeros((0, 3)), np.int64).T
-    weight = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum())))
-    weight /= weight.sum()
+
+    def features(term):
+        out = np.zeros(f)
+        out[[index[w] for w in words_of(term) if w in index]] = 1
+        return out
+
+    others = [features(b) for b in [*IDENTITY, *NEUTRAL]]
+    swaps, share = [], []
+    for a in IDENTITY:
+        texts = float(x[:, index[a]].sum()) if a in index else 0.0
+        if texts:
+            mine = features(a)
+            swaps += [mine - b for b in others]
+            share += [texts / n / len(others)] * len(others)
+    d, c = (np.array(swaps, np.float32), np.array(share, np.float32)) if swaps else (np.zeros((0, f), np.float32), np.zeros(0, np.float32))
+
+    def curvature(v):
+        v = v.astype(np.float32)
+        return x.T @ (x @ v) / (4 * n) + 2 * swap * (d.T @ (c * (d @ v)))
+
+    v = np.ones(f)
+    for _ in range(30):  # the largest eigenvalue bounds the step
+        v = curvature(v / np.linalg.norm(v))
+    step = 1 / (1.2 * float(np.linalg.norm(v)) + 0.25)
     w, intercept = np.zeros(f), 0.0
     v, v0, t = w.copy(), intercept, 1.0
-    step = 4 / (1 + float((x * x).sum(1) @ weight) + 8 * swap * (c.sum() / n if len(c) else 0))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + v0, -30, 30)))
-        r = weight * (p - y)
-        g = x.T @ r.astype(np.float32)
-        if len(a):
-            change = np.where(b >= 0, v[a] - v[np.maximum(b, 0)], v[a]) * c * (2 * swap / n)
-            np.add.at(g, a, change)
-            np.add.at(g, b[b >= 0], -change[b >= 0])
+        r = (1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + v0, -30, 30))) - y) / n  # a score is the share of label 1, so classes aren't evened out
+        g = x.T @ r.astype(np.float32) + 2 * swap * (d.T @ (c * (d @ v.astype(np.float32))))
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new0 = v0 - step * float(r.sum())
@@ -98,7 +119,7 @@ def _solve(rows: list[list[int]], y: np.ndarray, words: list[str], l1: float, sw
     return w, intercept
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_features: int = 1024, l1: float = 2e-3, swap: float = 1.0, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_features: int = 1024, l1: float = 4e-4, swap: float = 1.0, steps: int = 600) -> Model:
     """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", HELD_OUT_MOD) != 0))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
