@@ -33,13 +33,24 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import slices, with_columns
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 REMEMBERED = 500_000  # pieces that a Python worker keeps from block to block
 LONG_PIECE = 64  # longer ones aren't kept
+#: Below it, str.isalpha() and the pattern's \\p{L} agree (tests try each character).
+_LETTERS_END = "\u0250"
 _PLAIN = re.compile(r"\s | \s|^ | $")
+_TRUE = np.ones(1, bool)
+_BESIDE = [x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (c + " ", " " + c)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _plain(text: str) -> bool:
+    """Whether all spaces stand alone between other characters."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(x in text for x in _BESIDE) if text.isascii() else not _PLAIN.search(text)
+
+
 class Ranks:
     """A rank file as arrays: the id of each byte, and the merged id of each pair of ids."""
 
@@ -121,9 +132,8 @@ def replay(words: list[bytes], r: Ranks) -> list[list[int]]:
     file(left[ranks >= 0], ranks[ranks >= 0])
     while queue:
         rank = heapq.heappop(queue)
-        at = index.pop(rank)
-        at = np.unique(np.concatenate(at) if len(at) > 1 else at[0])
-        at = at[alive[at]]
+        at = np.sort(np.concatenate(index.pop(rank)))
+        at = at[alive[at] & np.concatenate([_TRUE, at[1:] != at[:-1]])]
         to = after[at]
         ok = to < n
         at, to = at[ok], to[ok]
@@ -131,7 +141,7 @@ def replay(words: list[bytes], r: Ranks) -> list[list[int]]:
         at, to = at[ok], to[ok]
         if not len(at):
             continue
-        chained = np.concatenate([[False], at[1:] == to[:-1]])
+        chained = np.concatenate([~_TRUE, at[1:] == to[:-1]])
         if chained.any():  # a run of one id: the leftmost pairs take precedence
             heads = np.flatnonzero(~chained)
             place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
@@ -173,7 +183,7 @@ class Encoder:
         before it, but the first of a text, which has none, gets one."""
         pieces = []
         for t in texts:
-            p = _CUT.split(t) if _PLAIN.search(t) else t.split(" ")
+            p = t.split(" ") if _plain(t) else _CUT.split(t)
             p[0] = " " + p[0]
             pieces.append(p)
         new: set[str] = set()
@@ -183,7 +193,7 @@ class Encoder:
         if len(self.names) + len(new) > REMEMBERED:
             self.names, self.raw = {}, {}
             new = {x for p in pieces for x in p}
-        self._learn(sorted(new))
+        self._learn(list(new))
         names, raw = self.names.__getitem__, self.raw.__getitem__
         out = [(" ".join(map(names, p)), b"".join(map(raw, p))) if p != [" "] else ("", b"") for p in pieces]
         for x in [x for x in new if len(x) > LONG_PIECE]:
@@ -193,15 +203,20 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         match, r = self.r.pattern.findall, self.r
         words: dict[str, int] = {}
-        of = [[words.setdefault(w, len(words)) for w in match(p[1:] if p[:1] == " " else " " + p)] for p in new]
+        number = words.setdefault
+        plain = [p for p in new if p.isalpha() and max(p) < _LETTERS_END]  # letters: one match, space and all
+        for p in plain:
+            number(" " + p, len(words))
+        rest = [p for p in new if not (p.isalpha() and max(p) < _LETTERS_END)]
+        of = [[number(w, len(words)) for w in match(p[1:] if p[:1] == " " else " " + p)] for p in rest]
         ids = replay([w.encode() for w in words], r)
-        names = [" ".join([r.names[i] for i in x]) for x in ids]
-        raw = [b"".join([r.bytes_of[i] for i in x]) for x in ids]
-        for p, ws in zip(new, of):
-            if len(ws) == 1:
-                self.names[p], self.raw[p] = names[ws[0]], raw[ws[0]]
-            else:
-                self.names[p], self.raw[p] = " ".join([names[w] for w in ws]), b"".join([raw[w] for w in ws])
+        name_of, bytes_of = r.names, r.bytes_of
+        names = [" ".join([name_of[i] for i in x]) for x in ids]
+        raw = [b"".join([bytes_of[i] for i in x]) for x in ids]
+        self.names.update(zip(plain, names))
+        self.raw.update(zip(plain, raw))
+        self.names.update(zip(rest, [" ".join([names[w] for w in ws]) for ws in of]))
+        self.raw.update(zip(rest, [b"".join([raw[w] for w in ws]) for ws in of]))
 
 
 @functools.lru_cache(1)

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, USER, ASSISTANT = "<s>", "</s>", "[INST] ", "[/INST] "
 _CONTROL = r"(<|\[)(\\*)(/?s>|/?INST\])"
 _ESCAPED = r"(<|\[)\\(\\*)(/?s>|/?INST\])"
-_BARE = r"(<|\[)(/?s>|/?INST\])"
 
 
 def escape(text: Column) -> Column:
@@ -35,7 +34,17 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPED, "$1$2$3")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, _ESCAPED, "$1$2$3")).otherwise(text)
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _bare(text: Column) -> Column:
+    """Whether a control string stands in a text unescaped; the parser has cut at all </s> before."""
+    return F.contains(text, F.lit("<s>")) | F.contains(text, F.lit("[INST]")) | F.contains(text, F.lit("[/INST]"))
 
 
 def render(role: Column, text: Column) -> Column:
@@ -44,17 +53,24 @@ def render(role: Column, text: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """Array of (role, text) read back from a rendered conversation; null where it breaks the grammar."""
-    parts = F.split(formatted, F.lit(CLOSE), -1)
-    pattern = r"(?s)\A<s>\[/?INST\] ([^\n]*)\n(.*)\z"
-    field = lambda p, k: F.regexp_extract(p, pattern, k)
-    turns = F.transform(
-        F.slice(parts, 1, F.size(parts) - 1),
-        lambda p: F.when(
-            p.rlike(pattern) & ~field(p, 1).rlike(_BARE) & ~field(p, 2).rlike(_BARE),
-            F.struct(unescape(field(p, 1)).alias("role"), unescape(field(p, 2)).alias("text")),
-        ),
-    )
-    return F.when((F.element_at(parts, -1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+
+    def body(p):
+        tags = [F.lit(OPEN + t) for t in (USER, ASSISTANT)]
+        return F.when(F.startswith(p, tags[0]), F.substring(p, len(OPEN + USER) + 1, 1 << 30)).when(F.startswith(p, tags[1]), F.substring(p, len(OPEN + ASSISTANT) + 1, 1 << 30))
+
+    def fields(b):
+        role = F.substring_index(b, "\n", 1)
+        return F.when(F.contains(b, F.lit("\n")), F.struct(role.alias("role"), F.substring(b, F.char_length(role) + 2, F.lit(1 << 30)).alias("text")))
+
+    def turn(p):
+        checked = lambda t: F.when(~_bare(t["role"]) & ~_bare(t["text"]), F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+        return _let(body(p), lambda b: _let(fields(b), checked))
+
+    def turns(parts):
+        found = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
+        return F.when(F.element_at(parts, -1) == "", _let(found, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), ts)))
+
+    return _let(F.split(formatted, F.lit(CLOSE), -1), turns)
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -67,10 +83,10 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     whole = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     whole = whole.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = F.array_join(F.transform("source", lambda t: render(t["role"], t["text"])), "")
-    first = whole.withColumn("formatted", plain)
-    first = first.withColumn("same", F.coalesce(parse(F.col("formatted")) == F.col("source"), F.lit(False)))
+    first = whole.withColumn("plain", plain).withColumn("read", parse(F.col("plain")))
+    first = first.withColumn("same", F.coalesce(F.col("read") == F.col("source"), F.lit(False)))
     escaped = F.array_join(F.transform("source", lambda t: render(escape(t["role"]), escape(t["text"]))), "")
-    second = first.select("conv_id", "source", F.when(F.col("same"), F.col("formatted")).otherwise(escaped).alias("formatted"))
-    read = second.select("conv_id", "source", "formatted", parse(F.col("formatted")).alias("turns"))
+    second = first.withColumn("formatted", F.when(F.col("same"), F.col("plain")).otherwise(escaped))
+    read = second.select("conv_id", "source", "formatted", F.when(F.col("same"), F.col("read")).otherwise(parse(F.col("formatted"))).alias("turns"))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return read.select(F.col("conv_id").alias(conv_id), "formatted", "turns", loss.alias("loss_text"), F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("verified"))

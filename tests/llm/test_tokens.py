@@ -76,6 +76,15 @@ def test_words_with_a_falling_rank_are_redone(monkeypatch):
     assert bpe.replay(words, fake) == [fake.plain(w) for w in words] and r is not fake
 
 
+def test_letters_and_spaces_are_the_patterns():
+    match = bpe.load(tokens.BPE_RANKS).pattern.findall
+    for c in map(chr, range(0x250)):
+        if c.isalpha():
+            assert match(f" a{c}b") == [f" a{c}b"] and match(f" {c}") == [f" {c}"]
+        assert c.isspace() or len(match(f"a{c} b")) > 1 and match(f"x{c} b")[-1] == " b"
+        assert bpe._plain(f"a{c} b") == (not bpe._PLAIN.search(f"a{c} b"))
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     e, lib = bpe.Encoder(tokens.BPE_RANKS), tokens.rank_encoding(tokens.BPE_RANKS)
