@@ -8,8 +8,9 @@ that carry the label; it is the weaker, the more surely a word's share differs b
 The fit reads a bounded sample: at most `max_rows` labelled rows, chosen by a hash of doc_id, and
 the `max_features` words that differ most between the classes.  Scoring reads every whole text.
 
-Defined results: null or empty text scores as the intercept alone; a null doc_id is never held out;
-labels other than 0 and 1 are ignored; with no usable label, or one class only, every score is the
+Defined results: null or empty text scores as the intercept alone; a null doc_id is never held out, nor
+learnt from; of repeated labels the greatest counts, of repeated documents the greatest text; labels
+other than 0 and 1 are ignored; with no usable label, or one class only, every score is the
 share of label 1 (0 without labels); repeated rows score alike; other columns are never read.
 """
 
@@ -122,32 +123,46 @@ def _solve(rows: list[list[int]], y: np.ndarray, words: list[str], l1, swap: flo
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_features: int = 1024, l1: float = 4e-4, swap: float = 1.0, steps: int = 600) -> Model:
     """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", HELD_OUT_MOD) != 0))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-
-    def distinct(batches):
-        for batch in batches:
-            for rows, _, _ in slices([batch], "text"):
-                yield with_columns(rows, ["y"], words=pa.array([sorted(words_of(t)) for t in _texts(rows, "text")], pa.list_(pa.string())))
-
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
-    seen = stage_table(chosen.mapInArrow(distinct, "y int, words array<string>").limit(2 * max_rows), "toxicity_sample")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    seen = stage_table(chosen.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("y", "text"), "toxicity_sample")
     count = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         return Model({}, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    by_word = seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+
+    def tally(batches):
+        """(word, rows of label 1, rows of label 0), added up in the task as far as memory goes."""
+        at: dict[str, list[int]] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(at), pa.string()), pa.array([v[1] for v in at.values()], pa.int64()), pa.array([v[0] for v in at.values()], pa.int64())], ["word", "a", "b"])
+            at.clear()
+            return out
+
+        for rows, _, _ in slices(batches, "text"):
+            for y, t in zip(rows.column(0).to_pylist(), _texts(rows, "text")):
+                for w in words_of(t):
+                    at.setdefault(w, [0, 0])[y] += 1
+                if len(at) > 200_000:
+                    yield flush()
+        if at:
+            yield flush()
+
+    by_word = seen.mapInArrow(tally, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     gap = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("a") + F.col("b") + 1) / (n1 + n0))
     top = by_word.where(F.col("a") + F.col("b") >= 3).orderBy(gap.desc(), "word").limit(max_features)
     words = sorted({r["word"] for r in top.select("word").collect()} | set(IDENTITY) | set(NEUTRAL))
     index = {w: k for k, w in enumerate(words)}
 
     def features(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(index[w] for w in ws if w in index) for ws in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "f"])
+        for rows, _, _ in slices(batches, "text"):
+            found = [sorted(index[w] for w in words_of(t) if w in index) for t in _texts(rows, "text")]
+            yield with_columns(rows, ["y"], f=pa.array(found, pa.list_(pa.int32())))
 
-    data = seen.select("y", "words").mapInArrow(features, "y int, f array<int>").collect()
+    data = seen.mapInArrow(features, "y int, f array<int>").collect()
     data = sorted((r["y"], list(r["f"])) for r in data)  # the order of rows must not sway the fit
     w, intercept = _solve([f for _, f in data], np.array([y for y, _ in data], float), words, l1, swap, steps)
     return Model({words[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-9)}, intercept)
