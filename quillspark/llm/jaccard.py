@@ -34,9 +34,9 @@ from .common import mix, slices, stage_table, windows, with_columns, word_hashes
 from .graph import components
 
 _U = np.uint64
-TILE = 128  # documents of a cluster that are compared as one tile
+TILE = 64  # documents of a cluster that are compared as one tile
 LEAF = 16  # points in a leaf of an R-tree
-BLOCK = 4096  # members of a block that are compared at once; larger blocks are cut into tiles of half as many
+BLOCK = 512  # members of a block that are compared at once; larger blocks are cut into tiles of half as many
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
