@@ -153,7 +153,8 @@ def top_k(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: int
 
     queries = some.groupBy("g", "s").applyInArrow(gather, f"pivot int, qlo double, qhi double, qids array<{kind}>, qx binary, floor binary")
     queries = stage_table(queries, "query_blocks")
-    met = queries.join(blocks, (queries["pivot"] == blocks["pivot"]) & (queries["qlo"] <= blocks["hi"]) & (queries["qhi"] >= blocks["lo"])).select(queries["pivot"], "qids", "qx", "floor", "ids", "dist", "x")
+    # a file of blocks repeats its vectors for each pivot and packs well, so its size would pass for small enough to broadcast
+    met = queries.hint("merge").join(blocks.hint("merge"), (queries["pivot"] == blocks["pivot"]) & (queries["qlo"] <= blocks["hi"]) & (queries["qhi"] >= blocks["lo"])).select(queries["pivot"], "qids", "qx", "floor", "ids", "dist", "x")
 
     def search(batches):
         found: dict[object, list[tuple[int, object]]] = {}
