@@ -338,9 +338,9 @@ def _member_rows(block, key, lo, hi, tile):
         yield pa.RecordBatch.from_arrays([pa.array(block[part].view(np.int64)), *map(pa.array, columns), pa.array(key[part])], ["cluster", "lo", "hi", "tile", "key"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents whose shingle sets have a Jaccard similarity of at
-    least num / den are linked, and linked ones share the smallest doc_id reachable."""
+def _linked_sets(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of each document, and (key, doc_id, root) of each distinct set: its smallest doc_id
+    and the smallest key that it is linked with."""
     t = Threshold(num, den)
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -354,9 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rebuild(batches):
         for rows, data, offsets in slices(batches, "text"):
             sets = shingle_sets(data, offsets, width)
-            asked = rows.column(rows.schema.get_field_index("key")).to_pylist()
-            ok = pa.array([set_key(s) == k for s, k in zip(sets, asked)])  # a repeated doc_id may have another text
-            yield with_columns(rows, ["cluster", "tiles", "key"], shingles=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())).filter(ok)
+            yield with_columns(rows, ["cluster", "tiles", "key"], shingles=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
 
     def compare(batches):
         for left, right in _groups(batches, lambda v: np.frombuffer(v, "<u8")):
@@ -372,7 +370,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = first.select("key", "doc_id")
     tiles = stage_table(clusters.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles")), "cluster_sizes")
     wanted = clusters.join(tiles, "root").select(F.col("node").alias("key"), F.col("root").alias("cluster"), "tiles").join(first, "key")
-    sets = docs.join(wanted, "doc_id").select("text", "cluster", "tiles", "key").mapInArrow(rebuild, "cluster long, tiles long, key long, shingles binary")
+    asked = wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "cluster", "tiles")
+    keyed = docs.mapInArrow(_keyed(width, "doc_id", "text", True), f"doc_id {kind}, text string, key long")
+    met = keyed.join(asked, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    sets = met.select("text", "cluster", "tiles", "key").mapInArrow(rebuild, "cluster long, tiles long, key long, shingles binary")
     tile = F.pmod(F.xxhash64("key"), F.col("tiles"))
     sides = sets.withColumn("tile", tile).dropDuplicates(["key"]).select("cluster", "tile", "key", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     pairs = sides.select("cluster", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "key", "shingles")
@@ -380,7 +381,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = pairs.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "key").mapInArrow(compare, "a long, b long")
     root = components(links)
     of_set = first.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    of_set = stage_table(of_set, "set_roots")
+    return summary.select("doc_id", "n", "key"), stage_table(of_set, "set_roots")
+
+
+def _keyed(width: int, doc_id: str, text: str, once: bool):
+    """Appends the set's key to rows with words; with `once`, a doc_id and key that a task has met go no further."""
+
+    def run(batches):
+        done: set[tuple] = set()
+        for rows, data, offsets in slices(batches, text):
+            keys = [set_key(s) for s in shingle_sets(data, offsets, width)]
+            use = [k is not None for k in keys]
+            if once:
+                for i, pair in enumerate(zip(rows.column(rows.schema.get_field_index(doc_id)).to_pylist(), keys)):
+                    use[i] = use[i] and pair not in done
+                    done.add(pair)
+            columns = [*rows.columns, pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, "key"]).filter(pa.array(use, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents whose shingle sets have a Jaccard similarity of at
+    least num / den are linked, and linked ones share the smallest doc_id reachable."""
+    summary, of_set = _linked_sets(docs, doc_id, text, width, num, den)
     smallest = stage_table(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest_ids")
     answer = stage_table(of_set.join(smallest, "root").select("key", "component_id"), "set_components")
     out = summary.join(answer, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -166,6 +166,24 @@ def test_near_duplicates_of_odd_rows(odd, none, rows_of):
     assert ids[9] == 1 and ids[10] == 0 and ids[3] == 1 and ids[None] <= 1
 
 
+def variants(name, n):
+    """n texts that are near but not equal."""
+    base = [f"{name}{k}" for k in range(60)]
+    return [" ".join([*base, f"{name}end{k}"]) for k in range(n)]
+
+
+def test_texts_without_an_id_link_and_one_id_may_have_many_texts(spark):
+    rows = [(None, x) for x in variants("a", 3)] + [(7, x) for x in variants("b", 3) + variants("c", 2)]
+    # the last variant of d has no id, and alone connects the other two
+    d = [f"d{k}" for k in range(100)]
+    rows += [(20, " ".join(d[:88])), (None, " ".join(d[:98])), (21, " ".join(d[:108] + [f"z{k}" for k in range(8)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, want = have(jaccard.near_duplicates(df, width=4, num=85, den=100)), by_hand(rows, 4, 85, 100)
+    key = lambda r: (*r[:3], r[3] is None, r[3] or 0)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[3] for r in want if r[1] in (20, 21)} == {20}
+
+
 @pytest.mark.parametrize("num,den", [(4, 5), (85, 100), (1, 2)])
 def test_near_duplicates_near_the_threshold(spark, num, den, monkeypatch):
     """Variants of a few texts, so that many pairs lie close to the threshold, in tiles and blocks that overflow."""
