@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import mix, slices, stage_table, windows, with_columns, word_hashes
 from .graph import components
@@ -427,9 +428,18 @@ def _groups(batches, decode):
         yield left, right
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that stay when one document of each component does: that with the smallest doc_id; of rows
-    with equal ids, one.  All columns are kept."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    stay = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(doc_id).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay[doc_id]), "left_semi").dropDuplicates([doc_id])
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows that stay when one row of each component does: that with the smallest doc_id, null being the
+    largest; of several, that with the smallest key of its set, then the smallest hash of the row.  Rows
+    without words all stay, and so do rows with null or equal ids that aren't linked.  All columns are kept."""
+    _, of_set = _linked_sets(docs, doc_id, text, width, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")
+    stay = of_set.groupBy("root").agg(first).select(F.col("s.key").alias("k"), F.col("s.doc_id").alias("d"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kinds = StructType([*rows.schema.fields, StructField("key", LongType())])
+    keyed = rows.mapInArrow(_keyed(width, "doc_id", "text", False), kinds)
+    found = keyed.join(stay, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    tie = F.xxhash64(*(F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    one = found.groupBy("key").agg(F.min_by("row", tie).alias("row")).select("row.*")
+    wordless = ~F.coalesce(docs[text], F.lit("")).rlike("[^ \\t-\\r]")
+    return one.unionByName(docs.where(wordless))

@@ -184,6 +184,17 @@ def test_texts_without_an_id_link_and_one_id_may_have_many_texts(spark):
     assert {r[3] for r in want if r[1] in (20, 21)} == {20}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d, e = (variants(x, 2) for x in "abcde")
+    rows = [(None, a[0]), (None, a[1]), (None, b[0]), (None, b[0]), (5, c[0]), (5, c[1]), (5, d[0]), (3, d[1]), (8, e[0]), (None, e[1]), (None, None), (None, " "), (2, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' as key", "map('k', 1) as row").repartition(3)
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    which = Counter((i, (t or " ").split()[0][0] if (t or "").split() else "") for i, t in left)
+    assert which == {(None, "a"): 1, (None, "b"): 1, (5, "c"): 1, (3, "d"): 1, (8, "e"): 1, (None, ""): 2, (2, ""): 2}
+
+
 @pytest.mark.parametrize("num,den", [(4, 5), (85, 100), (1, 2)])
 def test_near_duplicates_near_the_threshold(spark, num, den, monkeypatch):
     """Variants of a few texts, so that many pairs lie close to the threshold, in tiles and blocks that overflow."""
