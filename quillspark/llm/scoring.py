@@ -7,7 +7,7 @@ classes and over the leaves of a class score hashed features of the context: a b
 (bigram), the word before that (skip) and both together (trigram); in a leaf, tokens have add-one
 probabilities, of which one share is for unknown ones.
 
-Data flow; all of it grows with the input and nothing unbounded reaches the driver or one task:
+Data flow; all of it grows with the input, and no text or table of words reaches the driver or one task:
 
 1. Chunks: each task turns its documents into runs of a few megabytes: the run's distinct tokens, and
    for each document their indexes.  For each bucket of token hashes, a chunk asks for the counts of
@@ -15,9 +15,10 @@ Data flow; all of it grows with the input and nothing unbounded reaches the driv
 2. Counts: a bucket's task sums these and answers each chunk; it also tells its most frequent tokens
    and its totals by ending.
 3. Statistics: how often each leaf follows each hashed context in training documents, from all chunks,
-   added up by Spark.  Contexts and leaves are hashed, so the table is bounded.
+   added up by Spark.  Leaves, classes and context codes are sized from the counted vocabulary (Shape),
+   so that the table grows with it; the weights, which the driver holds, grow as its power 2/3.
 4. Training: each epoch sends the weights to the tasks that hold the statistics' partitions; each
-   returns its gradient, the driver adds them and takes a step (Adam).
+   returns its gradient by the features it meets, the driver adds them and takes a step (Adam).
 5. Scores: each chunk meets its answers again and is scored in numpy batches.
 
 Defined results: null or empty text is the end token alone; a null doc_id is never held out; repeated
@@ -28,6 +29,7 @@ training rows every token is unknown; long texts are read whole; other columns a
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,33 @@ H1_OWN, H1, H2_OWN, H2, H12 = 96, 128, 20, 32, 512
 CONTEXTS = H1 * H2
 FEATURES = 1 + H1 + H2 + H12
 STAT_PARTS = 8
+STEP = 1 << 15  # distinct training tokens up to which the sizes above hold; they double with each eightfold of it
+BLOCK = 512  # contexts that are handled at once
+
+
+class Shape(NamedTuple):
+    """Sizes of a model.  Cells of its statistics (contexts x leaves) grow in proportion to the vocabulary."""
+
+    scale: int = 1
+
+    @classmethod
+    def of(cls, vocabulary: int) -> Shape:
+        return cls(1 << max(0, (max(vocabulary, 1) // STEP).bit_length() - 1) // 3)
+
+    own = property(lambda self: OWN * self.scale)
+    shared = property(lambda self: SHARED * self.scale)
+    leaves = property(lambda self: LEAVES * self.scale)
+    classes = property(lambda self: CLASSES << (self.scale.bit_length() - 1) // 2)
+    h1_own = property(lambda self: H1_OWN * self.scale)
+    h1 = property(lambda self: H1 * self.scale)
+    h2_own = property(lambda self: H2_OWN * self.scale)
+    h2 = property(lambda self: H2 * self.scale)
+    h12 = property(lambda self: H12 * self.scale)
+    contexts = property(lambda self: self.h1 * self.h2)
+    features = property(lambda self: 1 + self.h1 + self.h2 + self.h12)
+
+
+SMALL = Shape()
 _MARKS = b".,;:!?"
 
 
@@ -110,8 +139,9 @@ def _chunked(buckets: int, schema: pa.Schema):
     return run
 
 
-def _answers(batches):
-    """Counts for each request; the most frequent tokens of each bucket; totals by shared leaf."""
+def _answers(batches, most: Shape):
+    """Counts for each request; the most frequent tokens of each bucket; totals by shared leaf of the
+    largest shape that the input may need, of whose leaves those of smaller shapes are made up."""
     by: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for batch in batches:
         for bucket, chunk, tokens, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -124,34 +154,36 @@ def _answers(batches):
                 total[t] = get(t, 0) + c
         rows = [(0, chunk, bucket, np.fromiter(map(total.__getitem__, tokens.split(b"\n")), np.int64).tobytes(), None, None, None) for chunk, tokens, _ in asked]
         seen = [(c, t) for t, c in total.items() if c]
-        top = sorted(seen, key=lambda x: (-x[0], x[1]))[:OWN]
+        top = sorted(seen, key=lambda x: (-x[0], x[1]))[: most.own]
         rows += [(1, None, None, None, t, c, 1) for c, t in top]
-        n, v = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+        n, v = np.zeros(most.shared, np.int64), np.zeros(most.shared, np.int64)
         for c, t in seen:
-            k = ending(t) % SHARED
+            k = ending(t) % most.shared
             n[k] += c
             v[k] += 1
-        rows += [(2, k, None, None, None, int(n[k]), int(v[k])) for k in range(SHARED) if n[k]]
+        rows += [(2, k, None, None, None, int(n[k]), int(v[k])) for k in np.flatnonzero(n).tolist()]
         types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kind", "chunk", "bucket", "counts", "token", "n", "v"])
 
 
 class Codes:
-    """Leaf and context codes of tokens."""
+    """Leaf and context codes of tokens.  Context codes of tokens without an own one hash the whole token."""
 
-    def __init__(self, own: list[bytes]):
-        self.rank = {t: i for i, t in enumerate(own)}
+    def __init__(self, own: list[bytes], shape: Shape = SMALL):
+        self.rank, self.shape = {t: i for i, t in enumerate(own)}, shape
 
     def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = self.shape
         rank = np.fromiter((self.rank.get(t, -1) for t in tokens), np.int64, len(tokens))
         end = np.fromiter(map(ending, tokens), np.int64, len(tokens))
-        leaf = np.where(rank >= 0, rank, OWN + end % SHARED)
-        h1 = np.where((rank >= 0) & (rank < H1_OWN), 1 + rank, 1 + H1_OWN + end % (H1 - 1 - H1_OWN))
-        h2 = np.where((rank >= 0) & (rank < H2_OWN), 1 + rank, 1 + H2_OWN + end % (H2 - 1 - H2_OWN))
+        whole = np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens))
+        leaf = np.where(rank >= 0, rank, s.own + end % s.shared)
+        h1 = np.where((rank >= 0) & (rank < s.h1_own), 1 + rank, 1 + s.h1_own + whole % (s.h1 - 1 - s.h1_own))
+        h2 = np.where((rank >= 0) & (rank < s.h2_own), 1 + rank, 1 + s.h2_own + whole % (s.h2 - 1 - s.h2_own))
         return leaf, h1, h2
 
 
-def _contexts(flat: np.ndarray, lengths: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def _contexts(flat: np.ndarray, lengths: np.ndarray, h1: np.ndarray, h2: np.ndarray, shape: Shape = SMALL) -> np.ndarray:
     """The context code of each position: codes of the two tokens before, 0 before a document's start."""
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     one, two = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
@@ -161,77 +193,123 @@ def _contexts(flat: np.ndarray, lengths: np.ndarray, h1: np.ndarray, h2: np.ndar
     two[starts] = 0
     after = starts[lengths > 1] + 1
     two[after] = 0
-    return one * H2 + two
+    return one * shape.h2 + two
 
 
-def features(context: np.ndarray) -> np.ndarray:
+def features(context: np.ndarray, shape: Shape = SMALL) -> np.ndarray:
     """The four active features of each context."""
-    a, b = context // H2, context % H2
-    both = ((a * 2654435761 + b * 40503) >> 7) % H12
-    return np.stack([np.zeros_like(a), 1 + a, 1 + H1 + b, 1 + H1 + H2 + both], 1)
+    a, b = context // shape.h2, context % shape.h2
+    both = ((a * 2654435761 + b * 40503) >> 7) % shape.h12
+    return np.stack([np.zeros_like(a), 1 + a, 1 + shape.h1 + b, 1 + shape.h1 + shape.h2 + both], 1)
 
 
-def _split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return weights[:, :CLASSES], weights[:, CLASSES:]
+def _scores(weights: np.ndarray, context: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of classes, and of leaves by class."""
+    f = features(context, shape)
+    both = sum(weights[f[:, k]] for k in range(f.shape[1]))
+    return both[:, : shape.classes], both[:, shape.classes :].reshape(len(context), shape.classes, -1)
 
 
-def log_softmaxes(weights: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log p(class | context), log p(leaf | its class, context)."""
-    f = features(context)
-    c, leaf = (sum(w[f[:, k]] for k in range(f.shape[1])) for w in _split(weights))
-    leaf = leaf.reshape(len(context), CLASSES, LEAVES // CLASSES)
+def _norm(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials along the last axis."""
+    top = x.max(-1, keepdims=True)
+    return top + np.log(np.exp(x - top).sum(-1, keepdims=True))
 
-    def norm(x):
-        top = x.max(-1, keepdims=True)
-        return x - top - np.log(np.exp(x - top).sum(-1, keepdims=True))
 
-    return norm(c), norm(leaf)
+def log_softmaxes(weights: np.ndarray, context: np.ndarray, shape: Shape = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """log p(class | context), log p(leaf | its class, context)."""
+    c, leaf = _scores(weights, context, shape)
+    return c - _norm(c), leaf - _norm(leaf)
 
 
-def gradient(weights: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the log likelihood of counts[context, leaf], and the log likelihood."""
-    lc, ll = log_softmaxes(weights, context)
-    by = counts.reshape(len(context), CLASSES, -1)
+def gradient(weights: np.ndarray, context: np.ndarray, counts: np.ndarray, shape: Shape = SMALL, into: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Gradient of the log likelihood of counts[context, leaf], added to `into`, and the log likelihood."""
+    lc, ll = log_softmaxes(weights, context, shape)
+    by = counts.reshape(len(context), shape.classes, -1)
     n = by.sum(-1)
     dc = n - n.sum(1, keepdims=True) * np.exp(lc)
-    dl = (by - n[:, :, None] * np.exp(ll)).reshape(len(context), LEAVES)
-    g = np.zeros_like(weights)
-    f, d = features(context), np.concatenate([dc, dl], 1)
+    dl = (by - n[:, :, None] * np.exp(ll)).reshape(len(context), shape.leaves)
+    g = np.zeros_like(weights) if into is None else into
+    f, d = features(context, shape), np.concatenate([dc, dl], 1)
     for k in range(f.shape[1]):
-        np.add.at(g, f[:, k], d)
+        order = np.argsort(f[:, k], kind="stable")
+        at, heads = np.unique(f[order, k], return_index=True)
+        g[at] += np.add.reduceat(d[order], heads)
     return g, float((n * lc).sum() + (by * ll).sum())
 
 
-def _train(stats: DataFrame, totals: np.ndarray, epochs: int, rate: float, l2: float) -> np.ndarray:
-    """Adam over gradients that the tasks holding the statistics return.  stats: context, leaf, n."""
+def _pack(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes and their counts, as compressed byte planes of the differences and of the counts."""
+    planes = (np.diff(code, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T, n.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return zlib.compress(b"".join(p.tobytes() for p in planes), 1)
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(body), np.uint8).reshape(2, 8, -1)
+    step, n = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes)
+    return np.cumsum(step), n
+
+
+def _merge(batches):
+    """One row of statistics for each part."""
+    by: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by.setdefault(part, []).append(body)
+    for part in sorted(by):
+        code, n = (np.concatenate(x) for x in zip(*map(_unpack, by.pop(part))))
+        order = np.argsort(code, kind="stable")
+        code, heads = np.unique(code[order], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(code, np.add.reduceat(n[order], heads))], pa.binary())], ["part", "body"])
+
+
+def _train(stats: DataFrame, totals: np.ndarray, epochs: int, rate: float, l2: float, shape: Shape = SMALL) -> np.ndarray:
+    """Adam over gradients that the tasks holding the statistics return.  stats: rows of packed codes
+    (context * leaves + leaf) and counts, by hash of the trigram, so that tasks share few features."""
     spark = stats.sparkSession
-    weights = np.zeros((FEATURES, CLASSES + LEAVES))
-    share = np.log((totals + 1.0) / (totals + 1.0).sum()).reshape(CLASSES, -1)
-    weights[0, :CLASSES] = np.log(np.exp(share).sum(1))
-    weights[0, CLASSES:] = (share - weights[0, :CLASSES, None]).ravel()
+    weights = np.zeros((shape.features, shape.classes + shape.leaves))
+    share = np.log((totals + 1.0) / (totals + 1.0).sum()).reshape(shape.classes, -1)
+    weights[0, : shape.classes] = np.log(np.exp(share).sum(1))
+    weights[0, shape.classes :] = (share - weights[0, : shape.classes, None]).ravel()
     n = totals.sum()
     if not n:
         return weights
     m, v = np.zeros_like(weights), np.zeros_like(weights)
-    parts = stage_table(stats.repartition(STAT_PARTS, "context"), "lm_statistics")
+    parts = stats.select("body").coalesce(max(STAT_PARTS, 2 * shape.scale))
     for epoch in range(1, epochs + 1):
-        sent = spark.sparkContext.broadcast(weights)
+        sent = spark.sparkContext.broadcast(weights.astype(np.float32))
 
         def grad(batches, sent=sent):
-            c, leaf, k = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*[[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows])] or [np.zeros(0, np.int64)] * 3
-            if len(c):
-                context, row = np.unique(c, return_inverse=True)
-                counts = np.zeros((len(context), LEAVES))
-                counts[row, leaf] = k
-                g, like = gradient(sent.value, context, counts)
-                yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float64).tobytes()], pa.binary())], ["g"])
+            g = np.zeros(sent.value.shape)
+            for body in (x for b in batches for x in b.column(0).to_pylist()):
+                code, k = _unpack(body)
+                context, row = np.unique(code // shape.leaves, return_inverse=True)
+                leaf = code % shape.leaves
+                for i in range(0, len(context), BLOCK):
+                    lo, hi = np.searchsorted(row, [i, i + BLOCK])
+                    counts = np.zeros((len(context[i : i + BLOCK]), shape.leaves))
+                    counts[row[lo:hi] - i, leaf[lo:hi]] = k[lo:hi]
+                    gradient(sent.value, context[i : i + BLOCK], counts, shape, g)
+            at = np.flatnonzero(g.any(1)).astype("<i8")
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([g[at].astype("<f4").tobytes()], pa.binary())], ["at", "g"])
 
         # sums in an order of their own: the gradients are sorted, so that a rerun gives the same model
-        rows = sorted(bytes(r["g"]) for r in parts.select("context", "leaf", "n").mapInArrow(grad, "g binary").collect())
-        g = sum(np.frombuffer(r, np.float64) for r in rows).reshape(weights.shape) / n - l2 * weights
+        g = np.zeros_like(weights)
+        rows = parts.mapInArrow(grad, "at binary, g binary").collect()
+        for row in sorted(rows, key=lambda r: (r["g"], r["at"])):
+            g[np.frombuffer(row["at"], "<i8")] += np.frombuffer(row["g"], "<f4").reshape(-1, g.shape[1])
+        del rows, row
         sent.destroy()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        weights = weights + rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-7)
+        g /= n
+        g -= l2 * weights
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.99
+        v += 0.01 * np.square(g, out=g)
+        np.sqrt(np.divide(v, 1 - 0.99**epoch, out=g), out=g)
+        g += 1e-7
+        weights += np.divide(m, g, out=g) * (rate / (1 - 0.9**epoch))
     return weights
 
 
@@ -252,49 +330,81 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
     chunked = stage_table(rows.withColumn("train", ~held_out).mapInArrow(_chunked(buckets, schema), spark_schema), "lm_chunks")
     chunks, asked = chunked.where("kind = 0"), chunked.where("kind = 1")
 
-    answered = asked.select("bucket", "chunk", "tokens", "body").repartition(wide, "bucket").mapInArrow(_answers, "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
+    most = Shape.of(size)  # there are fewer tokens than bytes
+    answered = asked.select("bucket", "chunk", "tokens", "body").repartition(wide, "bucket").mapInArrow(lambda batches: _answers(batches, most), "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
     answered = stage_table(answered, "lm_counts")
-    top = [(bytes(r["token"]), r["n"]) for r in answered.where("kind = 1").orderBy(F.col("n").desc(), "token").limit(OWN).select("token", "n").collect()]
+    v_all = answered.where("kind = 2").agg(F.sum("v")).first()[0] or 0
+    shape = Shape.of(v_all)
+    top = [(bytes(r["token"]), r["n"]) for r in answered.where("kind = 1").orderBy(F.col("n").desc(), "token").limit(shape.own).select("token", "n").collect()]
     ends = dict(top).get(END)
     if ends is None and top:  # the end is a token as any other, but always has a leaf
         found = answered.where((F.col("kind") == 1) & (F.col("token") == F.lit(bytearray(END)))).select("n").first()
-        top = [*top[: OWN - 1], (END, found["n"] if found else 0)]
-    own_n = np.zeros(LEAVES, np.int64)
-    own_v = np.zeros(LEAVES, np.int64)
-    for r in answered.where("kind = 2").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        own_n[OWN + r["chunk"]], own_v[OWN + r["chunk"]] = r["n"], r["v"]
-    n_all, v_all = int(own_n.sum()), int(own_v.sum())
+        top = [*top[: shape.own - 1], (END, found["n"] if found else 0)]
+    own_n = np.zeros(shape.leaves, np.int64)
+    own_v = np.zeros(shape.leaves, np.int64)
+    for r in answered.where("kind = 2").groupBy((F.col("chunk") % shape.shared).alias("k")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        own_n[shape.own + r["k"]], own_v[shape.own + r["k"]] = r["n"], r["v"]
+    n_all = int(own_n.sum())
     for i, (t, n) in enumerate(top):
         own_n[i] = n
-        own_n[OWN + ending(t) % SHARED] -= n
-        own_v[OWN + ending(t) % SHARED] -= n > 0
+        own_n[shape.own + ending(t) % shape.shared] -= n
+        own_v[shape.own + ending(t) % shape.shared] -= n > 0
     own = [t for t, _ in top]
 
+    parts = 4 * STAT_PARTS * shape.scale
+
     def count(batches):
-        codes, table = Codes(own), np.zeros(CONTEXTS * LEAVES, np.int64)
+        codes, held, size = Codes(own, shape), [], 0
+
+        def flush():
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            part = features(code // shape.leaves, shape)[:, 3] % parts
+            for p in np.unique(part):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(code[part == p], n[part == p])], pa.binary())], ["part", "body"])
+
         for batch in batches:
             for lengths, train, tokens, width, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 leaf, h1, h2 = codes.of(tokens.split(b"\n"))
                 flat, lengths = np.frombuffer(body, f"<u{width}").astype(np.int64), np.array(lengths, np.int64)
                 use = np.repeat(np.array(train, bool), lengths)
-                code = (_contexts(flat, lengths, h1, h2) * LEAVES + leaf[flat])[use]
-                np.add.at(table, code, 1)
-        code = np.flatnonzero(table)
-        for i in range(0, len(code), 50_000):
-            c = code[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(table[c])], ["code", "n"])
-
-    counted = chunks.select("lengths", "train", "tokens", "width", "body").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    stats = stage_table(counted.select((F.col("code") / LEAVES).cast("long").alias("context"), (F.col("code") % LEAVES).cast("int").alias("leaf"), "n"), "lm_contexts")
-    totals = np.zeros(LEAVES)
-    for r in stats.groupBy("leaf").agg(F.sum("n").alias("n")).collect():
-        totals[r["leaf"]] = r["n"]
-    weights = _train(stats, totals, epochs, rate, l2)
-    lc, ll = log_softmaxes(weights, np.arange(CONTEXTS))
-    model = spark.sparkContext.broadcast(((lc[:, :, None] + ll) / np.log(10)).reshape(CONTEXTS, LEAVES).astype(np.float32))  # CONTEXTS * LEAVES * 4 bytes
+                held.append((_contexts(flat, lengths, h1, h2, shape) * shape.leaves + leaf[flat])[use])
+                size += len(held[-1])
+                if size >= 4_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    counted = chunks.select("lengths", "train", "tokens", "width", "body").mapInArrow(count, "part int, body binary")
+    stats = stage_table(counted.repartition(STAT_PARTS * shape.scale, "part").mapInArrow(_merge, "part int, body binary"), "lm_statistics")
+
+    def by_leaf(batches):
+        for body in (x for b in batches for x in b.column(0).to_pylist()):
+            code, n = _unpack(body)
+            yield pa.RecordBatch.from_arrays([pa.array([np.bincount(code % shape.leaves, weights=n, minlength=shape.leaves).tobytes()], pa.binary())], ["n"])
+
+    totals = np.zeros(shape.leaves)
+    for r in stats.select("body").mapInArrow(by_leaf, "n binary").collect():
+        totals += np.frombuffer(bytes(r["n"]), np.float64)
+    sent = spark.sparkContext.broadcast(_train(stats, totals, epochs, rate, l2, shape))
+
+    def norms(batches):
+        for batch in batches:
+            context = batch.column(0).to_numpy()
+            for i in range(0, len(context), BLOCK):
+                c, leaf = _scores(sent.value, context[i : i + BLOCK], shape)
+                z = _norm(leaf)[:, :, 0] + _norm(c)
+                yield pa.RecordBatch.from_arrays([pa.array(context[i : i + BLOCK]), pa.array([x.tobytes() for x in z.astype(np.float32)], pa.binary())], ["context", "z"])
+
+    # of each context and class, what the scores of a class and its leaf exceed their log probability by
+    normal = np.zeros((shape.contexts, shape.classes), np.float32)
+    for r in spark.range(0, shape.contexts, 1, STAT_PARTS).mapInArrow(norms, "context long, z binary").toLocalIterator():
+        normal[r["context"]] = np.frombuffer(bytes(r["z"]), np.float32)
+    normal = spark.sparkContext.broadcast(normal)
+    per_class = shape.leaves // shape.classes
 
     def finish(batches):
-        codes, answers = Codes(own), {}
+        codes, answers = Codes(own, shape), {}
         base = np.log10(float(n_all + v_all + 1))
         inside = np.log10(own_n + own_v + 1.0)
         for batch in batches:
@@ -312,7 +422,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 known = np.log10(c + 1.0)
                 in_leaf = np.where(leaf < len(own), 0.0, known - inside[leaf])
-                lp = model.value[_contexts(flat, lengths, h1, h2), leaf[flat]].astype(np.float64) + in_leaf[flat]
+                context, to = _contexts(flat, lengths, h1, h2, shape), leaf[flat]
+                group, w = to // per_class, sent.value
+                f = features(context, shape)
+                lp = sum(w[f[:, k], group] + w[f[:, k], shape.classes + to] for k in range(f.shape[1])) - normal.value[context, group]
+                lp = lp / np.log(10) + in_leaf[flat]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, name_type), pa.array(lengths), pa.array(np.add.reduceat((c > 0)[flat].astype(np.int64), starts)), pa.array(np.add.reduceat(known[flat], starts) - lengths * base), pa.array(np.add.reduceat(lp, starts))],
                     ["doc_id", "n_tokens", "n_known", "base_score", "score"],

@@ -268,6 +268,22 @@ def test_the_model_beats_the_base_on_held_out_text(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_the_model_grows_with_the_vocabulary_and_hashes_whole_tokens(spark, monkeypatch):
+    shapes = [scoring.Shape.of(n) for n in (0, 1 << 15, 1 << 18, 1 << 21, 1 << 27)]
+    assert [s.scale for s in shapes] == [1, 1, 2, 4, 16]
+    assert all(s.leaves == s.own + s.shared and s.leaves % s.classes == 0 for s in shapes)
+    _, h1, h2 = scoring.Codes([]).of([f"w{k}ing".encode() for k in range(400)])
+    assert len(set(h1.tolist())) > 25 and len(set(h2.tolist())) > 9
+    monkeypatch.setattr(scoring, "STEP", 4)
+    # which of two words follows is told by the whole word before, not by its ending
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"{'ab'[x]}zing {'ab'[x]}end" for x in rng.integers(0, 2, 40).tolist())
+    rows = [(i, text() + f" u{i}") for i in range(300)]
+    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert scoring.Shape.of(300).scale == 4 and all(r["score"] < 0 for r in got)
+    assert np.mean([r["score"] / r["n_tokens"] for r in got if r["held_out"]]) > -0.3
+
+
 def test_softmaxes_sum_to_one_and_the_gradient_is_one():
     rng = np.random.default_rng(1)
     w = rng.normal(0, 0.3, (scoring.FEATURES, scoring.CLASSES + scoring.LEAVES))
