@@ -1,41 +1,46 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Texts are split at single spaces between other characters, where the pre-tokenizer's pattern always
-splits too; the distinct pieces of a block of the corpus are matched by the pattern, and its distinct
-matches become one array of byte ids with links to both neighbours.  An inverted index holds, by the
-rank of a pair of adjacent ids, the places where it stands.  Ranks are replayed in rising order; a
-merge is applied at all its places at once and files only the pairs with the touched neighbours.
+splits too.  Every distinct piece of the corpus is encoded once:
+
+1. Chunks: a task turns its documents, a few megabytes at a time, into their distinct pieces and each
+   document's indexes into them, and asks the buckets of a hash for the pieces' ids.
+2. Replay: a bucket's task matches its distinct pieces by the pattern; the distinct matches become one
+   array of byte ids with links to both neighbours.  An inverted index holds, by the rank of a pair of
+   adjacent ids, the places where it stands.  Ranks are replayed in rising order; a merge is applied at
+   all its places at once and files only the pairs with the touched neighbours.  Each chunk is answered.
+3. A chunk meets its answers, and its documents' ids are put together from them; digests of the decoded
+   bytes are taken of what these ids stand for.
 
 A merge may in principle create a pair of a lower rank than its own.  The library would then apply
 that one first, so words where this happens are encoded one by one with the plain rule.
 
-Blocks, not the whole corpus at once: what a word encodes to depends on nothing else, so replaying a
-block's distinct words gives the same ids, and no table of all words has to be shuffled back to their
-documents.  A bounded memory of pieces carries over from block to block.
+The chunk table is written to the shared folder, so a lost executor's work is redone from there.
 
 Defined results: null or empty text: no ids, empty bytes; rows are encoded each for itself, so
-repeated rows give equal results; long texts are encoded whole; other columns are never read.
+repeated rows give equal results; an empty table gives no rows; long texts are encoded whole; other
+columns are never read.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import heapq
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, with_columns
+from .common import slices, stage_table, with_columns
 
-BLOCK_BYTES = 8 << 20
-REMEMBERED = 500_000  # pieces that a Python worker keeps from block to block
-LONG_PIECE = 64  # longer ones aren't kept
+CHUNK_BYTES = 4 << 20
+PART_BYTES = 16 << 20  # of text for each partition of buckets and of chunks
 #: Below it, str.isalpha() and the pattern's \\p{L} agree (tests try each character).
 _LETTERS_END = "\u0250"
 _PLAIN = re.compile(r"\s | \s|^ | $")
@@ -170,77 +175,180 @@ def replay(words: list[bytes], r: Ranks) -> list[list[int]]:
     return out
 
 
-class Encoder:
-    """Encodes blocks of texts, remembering pieces."""
+def pieces_of(text: str) -> list[str]:
+    """A text's pieces.  A piece leaves out the space before it, but the first of a text, which has none, gets one."""
+    p = text.split(" ") if _plain(text) else _CUT.split(text)
+    p[0] = " " + p[0]
+    return p
 
-    def __init__(self, name: str):
-        self.r = load(name)
-        self.names: dict[str, str] = {}  # decimal ids of a piece, joined by a space
-        self.raw: dict[str, bytes] = {}  # the bytes that these ids stand for
-
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """(decimal ids joined by a space, the ids' bytes) of each text.  A piece's key leaves out the space
-        before it, but the first of a text, which has none, gets one."""
-        pieces = []
-        for t in texts:
-            p = t.split(" ") if _plain(t) else _CUT.split(t)
-            p[0] = " " + p[0]
-            pieces.append(p)
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        new -= self.names.keys()
-        if len(self.names) + len(new) > REMEMBERED:
-            self.names, self.raw = {}, {}
-            new = {x for p in pieces for x in p}
-        self._learn(list(new))
-        names, raw = self.names.__getitem__, self.raw.__getitem__
-        out = [(" ".join(map(names, p)), b"".join(map(raw, p))) if p != [" "] else ("", b"") for p in pieces]
-        for x in [x for x in new if len(x) > LONG_PIECE]:
-            del self.names[x], self.raw[x]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        match, r = self.r.pattern.findall, self.r
-        words: dict[str, int] = {}
-        number = words.setdefault
-        plain = [p for p in new if p.isalpha() and max(p) < _LETTERS_END]  # letters: one match, space and all
-        for p in plain:
-            number(" " + p, len(words))
-        rest = [p for p in new if not (p.isalpha() and max(p) < _LETTERS_END)]
-        of = [[number(w, len(words)) for w in match(p[1:] if p[:1] == " " else " " + p)] for p in rest]
-        ids = replay([w.encode() for w in words], r)
-        name_of, bytes_of = r.names, r.bytes_of
-        names = [" ".join([name_of[i] for i in x]) for x in ids]
-        raw = [b"".join([bytes_of[i] for i in x]) for x in ids]
-        self.names.update(zip(plain, names))
-        self.raw.update(zip(plain, raw))
-        self.names.update(zip(rest, [" ".join([names[w] for w in ws]) for ws in of]))
-        self.raw.update(zip(rest, [b"".join([raw[w] for w in ws]) for ws in of]))
-
-
-@functools.lru_cache(1)
-def encoder(name: str) -> Encoder:
-    """A Python worker's encoder.  It makes millions of strings and no cycles, so the collector rests."""
-    gc.disable()
-    return Encoder(name)
-
-
-def _blocks(batches, column: str):
-    for rows, data, _ in slices(batches, column, BLOCK_BYTES):
-        yield rows, [t or "" for t in rows.column(rows.schema.get_field_index(column)).to_pylist()]
+
+def learn(pieces: list[str], r: Ranks) -> list[list[int]]:
+    """The ids of each (distinct) piece, by replay of their distinct matches."""
+    match = r.pattern.findall
+    words: dict[str, int] = {}
+    number = words.setdefault
+    of = []
+    for p in pieces:
+        if p.isalpha() and max(p) < _LETTERS_END:  # letters: one match, space and all
+            of.append((number(" " + p, len(words)),))
+        else:
+            of.append([number(w, len(words)) for w in match(p[1:] if p[:1] == " " else " " + p)])
+    ids = replay([w.encode() for w in words], r)
+    return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in of]
+
+
+class _Index(dict):
+    def __missing__(self, piece):
+        n = self[piece] = len(self)
+        return n
+
+
+def _runs(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indexes starts[0], ... of counts[0] length, and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def decode_ids(ids: np.ndarray, r: Ranks) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(r.bytes_of.__getitem__, ids.tolist()))
+
+
+def _chunked(buckets: int):
+    """Rows of kind 0: a chunk's doc_ids, pieces a document and indexes into its distinct pieces, which are
+    numbered by bucket; of kind 1: the pieces that it asks a bucket for."""
+
+    def run(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        index, names, flat, lengths, size, id_type = _Index(), [], [], [], 0, None
+
+        def flush():
+            pieces = list(index)
+            at = np.fromiter((zlib.crc32(p.encode()) % buckets for p in pieces), np.int64, len(pieces))
+            order = np.argsort(at, kind="stable")
+            number_of = np.empty(len(pieces), "<u4")
+            number_of[order] = np.arange(len(pieces))
+            body = pa.compress(number_of[np.concatenate(flat)].tobytes(), "zstd", asbytes=True)
+            chunk = part << 32 | number
+            met, heads = np.unique(at[order], return_index=True)
+            cuts = [*heads.tolist(), len(order)]
+            asked = [[pieces[i] for i in order[cuts[k] : cuts[k + 1]].tolist()] for k in range(len(met))]
+            n, none = len(met), [None] * len(met)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([0] + [1] * n, pa.int32()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *met.tolist()], pa.int64()),
+                    pa.array([names, *none], pa.list_(id_type)), pa.array([lengths, *none], pa.list_(pa.int64())), pa.array([body, *none], pa.binary()), pa.array([None, *asked], pa.list_(pa.string())),
+                ],
+                ["kind", "chunk", "bucket", "names", "lengths", "body", "pieces"],
+            )
+
+        for rows, _, offsets in slices(batches, "text"):
+            id_type = rows.schema.field(0).type
+            names += rows.column(0).to_pylist()
+            for t in rows.column(1).to_pylist():
+                p = pieces_of(t or "")
+                flat.append(np.fromiter(map(index.__getitem__, p), np.uint32, len(p)))
+                lengths.append(len(p))
+            size += int(offsets[-1])
+            if size >= CHUNK_BYTES:
+                yield flush()
+                number += 1
+                index, names, flat, lengths, size = _Index(), [], [], [], 0
+        if names:
+            yield flush()
+
+    return run
+
+
+def _answers(ranks_name: str):
+    """For rows sorted by bucket: each chunk's answer, the number of ids of each piece and the ids."""
+
+    def run(batches):
+        r = load(ranks_name)
+
+        def answer(asked):
+            index = _Index()
+            where = [np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces)) for _, pieces in asked]
+            ids = learn(list(index), r)
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), "<u4", int(counts.sum()))
+            starts = np.cumsum(counts) - counts
+            for (chunk, _), at in zip(asked, where):
+                n = counts[at]
+                body = np.concatenate([n.astype("<u4"), flat[_runs(n, starts[at])]]).tobytes()
+                yield chunk, bucket, len(at), pa.compress(body, "zstd", asbytes=True), len(body)
+
+        def out(rows):
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["chunk", "bucket", "n", "body", "size"])
+
+        bucket, asked = None, []
+        for batch in batches:
+            for b, chunk, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != bucket and asked:
+                    yield out(list(answer(asked)))
+                    asked = []
+                bucket = b
+                asked.append((chunk, pieces.as_py()))
+        if asked:
+            yield out(list(answer(asked)))
+
+    return run
+
+
+def _encoded(docs: DataFrame, doc_id: str, text: str, ranks_name: str, columns: str, emit) -> DataFrame:
+    """doc_id and `columns`: what emit gives for the names, ids and ranks of a chunk's documents."""
+    spark = docs.sparkSession
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    chunked = stage_table(rows.mapInArrow(_chunked(4 * wide), f"kind int, chunk long, bucket long, names array<{kind}>, lengths array<long>, body binary, pieces array<string>"), "bpe_chunks")
+    asked = chunked.where("kind = 1").select("bucket", "chunk", "pieces").repartition(wide, "bucket").sortWithinPartitions("bucket", "chunk")
+    replies = asked.mapInArrow(_answers(ranks_name), "chunk long, bucket long, n long, body binary, size long")
+
+    def finish(batches):
+        r, got, met = load(ranks_name), [], None
+        for batch in batches:
+            id_type = batch.schema.field(5).type.value_type
+            for i, (chunk, bucket, n, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if chunk != met:
+                    met, got = chunk, []
+                body = batch.column(4)[i].as_py()
+                if bucket is not None:
+                    got.append((n, np.frombuffer(pa.decompress(body, size, "zstd", asbytes=True), "<u4")))
+                    continue
+                lengths = batch.column(6)[i].values.to_numpy()
+                flat = np.frombuffer(pa.decompress(body, 4 * int(lengths.sum()), "zstd", asbytes=True), "<u4")
+                counts = np.concatenate([x[:n] for n, x in got]).astype(np.int64)
+                ids = np.concatenate([x[n:] for n, x in got])
+                starts = np.cumsum(counts) - counts
+                names = [" ".join(map(r.names.__getitem__, ids[a : a + n].tolist())) for a, n in zip(starts.tolist(), counts.tolist())]
+                yield from emit(pa.array(batch.column(5)[i].as_py(), id_type), flat, lengths, counts, starts, ids, names, r)
+
+    whole = chunked.where("kind = 0").select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), "body", "names", "lengths")
+    replies = replies.select("chunk", "bucket", "n", "size", "body", F.lit(None).cast(f"array<{kind}>").alias("names"), F.lit(None).cast("array<long>").alias("lengths"))
+    met = replies.unionByName(whole).repartition(wide, "chunk").sortWithinPartitions("chunk", F.col("bucket").asc_nulls_last())
+    return met.mapInArrow(finish, f"doc_id {kind}, {columns}").withColumnRenamed("doc_id", doc_id)
+
+
+def _documents(flat, lengths, counts, starts, ids):
+    """(indexes of the pieces, ids) of each document of a chunk."""
+    at = 0
+    for n in lengths.tolist():
+        piece = flat[at : at + n]
+        at += n
+        yield piece, ids[_runs(counts[piece], starts[piece])]
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_name: str = tokens.BPE_RANKS) -> DataFrame:
     """doc_id, ids (array of int): each whole text's ids."""
-    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches):
-        coder = encoder(ranks_name)
-        for rows, texts in _blocks(batches, "text"):
-            yield with_columns(rows, ["doc_id"], ids=pa.array([np.array(s.split(), np.int32) for s, _ in coder.encode(texts)], pa.list_(pa.int32())))
+    def emit(doc_ids, flat, lengths, counts, starts, ids, names, r):
+        of = [x.astype(np.int32) for _, x in _documents(flat, lengths, counts, starts, ids)]
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(of, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", doc_id)
+    return _encoded(docs, doc_id, text, ranks_name, "ids array<int>", emit)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks_name: str = tokens.BPE_RANKS) -> DataFrame:
@@ -248,28 +356,23 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", ranks_n
     kind = encoded.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        of = load(ranks_name).bytes_of
+        r = load(ranks_name)
         for batch in batches:
-            yield with_columns(batch, ["doc_id"], decoded=pa.array([b"".join([of[i] for i in x or ()]) for x in batch.column(1).to_pylist()], pa.binary()))
+            yield with_columns(batch, ["doc_id"], decoded=pa.array([decode_ids(np.array(x or (), np.int64), r) for x in batch.column(1).to_pylist()], pa.binary()))
 
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded binary").withColumnRenamed("doc_id", doc_id)
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_name: str = tokens.BPE_RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the bytes
-    that the ids stand for): encoding and decoding without shipping the ids."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    that these ids decode to): encoding and decoding without shipping the ids."""
 
-    def run(batches):
-        coder = encoder(ranks_name)
-        for rows, texts in _blocks(batches, "text"):
-            out = coder.encode(texts)
-            yield with_columns(
-                rows,
-                ["doc_id"],
-                n_tokens=pa.array([s.count(" ") + 1 if s else 0 for s, _ in out], pa.int64()),
-                ids_sha256=[hashlib.sha256(s.encode()).hexdigest() for s, _ in out],
-                decoded_sha256=[hashlib.sha256(b).hexdigest() for _, b in out],
-            )
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", doc_id)
+    def emit(doc_ids, flat, lengths, counts, starts, ids, names, r):
+        n, said, back = [], [], []
+        for piece, of in _documents(flat, lengths, counts, starts, ids):
+            n.append(len(of))
+            said.append(hashlib.sha256(" ".join(map(names.__getitem__, piece.tolist())).encode()).hexdigest())
+            back.append(hashlib.sha256(decode_ids(of, r)).hexdigest())
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(docs, doc_id, text, ranks_name, "n_tokens long, ids_sha256 string, decoded_sha256 string", emit)

@@ -17,7 +17,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR (letters > 0 AND 100 * up > 40 * letters)
+  NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR (2 * letters >= word_chars AND 100 * up > 40 * letters)
        OR (n_words >= 20 AND 100 * top > 30 * n_words) OR word_chars > 40 * n_words) AS kept
 FROM b"""
 
@@ -37,15 +37,16 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS compon
 FROM w LEFT JOIN n USING (r) JOIN reach ON reach.a = w.r JOIN d o ON o.r = reach.b GROUP BY w.r, w.doc_id, n.n"""
 
 _ESCAPE = r"regexp_replace({}, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"
+_ESCAPE_ROLE = r"replace(regexp_replace(role, '(<|\[)(\\*)(/?s>|br>|/?INST\])', '\1\\\2\3', 'g'), chr(10), '<br>')"
 
 OP2 = rf"""
-WITH c AS (SELECT conv_id, turn, replace(coalesce(role, ''), chr(10), ' ') AS role, coalesce(text, '') AS text FROM conversations
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum(length(role || text) + 3 + 4 + 1 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS plain,
-  sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 8 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS escaped,
-  bool_or(regexp_matches(role, '(<|\[)\\*(/?s>|/?INST\])') OR regexp_matches(text, '(<|\[)\\*(/?s>|/?INST\])')) AS clash
+  sum(length({_ESCAPE_ROLE}) + length({_ESCAPE.format("text")}) + 8 + CASE WHEN role = 'assistant' THEN 8 ELSE 7 END) AS escaped,
+  bool_or(regexp_matches(role, '(<|\[)\\*(/?s>|br>|/?INST\])|\n') OR regexp_matches(text, '(<|\[)\\*(/?s>|/?INST\])')) AS clash
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   (CASE WHEN clash THEN escaped ELSE plain END)::BIGINT AS formatted_chars, true AS verified FROM g"""

@@ -13,11 +13,13 @@ long texts are tokenized whole; other columns are never read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,16 @@ def fill(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tup
     return [b for b in bins if b]
 
 
+def hash_row(name, ids: np.ndarray, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8, key=f"{seed} {name}".encode()[:64]).digest(), "little")
+
+
+def deal(row: int, twin: int, task: int, groups: int) -> int:
+    """The group of the n-th copy of a row in a task: neither copies in one task nor the n-th ones of all tasks meet."""
+    key = np.array([row], np.uint64) + np.array([twin], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([task], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return int(mix(key)[0] % np.uint64(groups))
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, group_docs: int = 2048, seed: int = 17, json_name: str = tokens.BPE_JSON, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and its ids
     (little-endian unsigned 32-bit) if asked for."""
@@ -91,15 +103,16 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     groups = max(1, -(-rows.count() // group_docs))
 
     def cut(batches):
-        seen: Counter = Counter()
+        seen: Counter = Counter()  # by a hash of the row: copies of it in this task so far
+        task = TaskContext.get().partitionId() + 1
         for part, _, _ in slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             names = part.column(0).to_pylist()
             for name, ids in zip(names, tokens.bpe_ids([t or "" for t in part.column(1).to_pylist()], json_name)):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                twin, seen[name] = seen[name], seen[name] + 1  # equal rows are interchangeable, so their order doesn't matter
-                key = np.array([zlib.crc32(str(name).encode()) | (twin << 32)], np.uint64) + np.uint64(seed)
-                grp = int(mix(key * np.uint64(0x9E3779B97F4A7C15))[0] % np.uint64(groups))
+                row = hash_row(name, ids, seed)
+                twin, seen[row] = seen[row], seen[row] + 1  # equal rows are interchangeable, so their order doesn't matter
+                grp = deal(row, twin, task, groups)
                 full = len(ids) // capacity * capacity
                 for at in [*range(0, full, capacity), *([full] if full < len(ids) else [])]:
                     piece = ids[at : at + capacity].tobytes()

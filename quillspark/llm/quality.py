@@ -68,7 +68,7 @@ def failures(m: dict[str, np.ndarray]) -> np.ndarray:
         "repeated_windows": 100 * m["n_repeat_words"] > 30 * words,
         "symbols": 100 * m["n_symbols"] > 10 * m["word_chars"],
         "duplicate_lines": 100 * m["n_dup_lines"] > 50 * m["n_lines"],
-        "shouting": (100 * m["n_upper"] > 40 * m["n_ascii_letters"]) & (m["n_ascii_letters"] > 0),
+        "shouting": (100 * m["n_upper"] > 40 * m["n_ascii_letters"]) & (2 * m["n_ascii_letters"] >= m["word_chars"]),  # of texts mostly in A-Z
         "one_word": (100 * m["n_top_word"] > 30 * words) & (words >= 20),
         "long_words": m["word_chars"] > 40 * words,
     }

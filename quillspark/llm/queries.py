@@ -38,7 +38,8 @@ URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "a
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = urls.fit(spark.createDataFrame(urls.labelled_urls(), "url string, label int"))
+    known = [(u, y) for u, y in urls.labelled_urls() if not urls.held_out(u)]
+    model = urls.fit(spark.createDataFrame(known, "url string, label int"))
     return urls.judge(table(spark, sf_dir, "pages"), model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

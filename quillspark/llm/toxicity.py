@@ -1,23 +1,30 @@
 """Toxicity: logistic regression on word presence with a counterfactual penalty.
 
-Each labelled text that names a group is paired with copies in which that identity term is swapped
-for others and for neutral nouns; the loss adds the squared change of score over these pairs, so a
-mention of a group moves a score no further than a neutral noun does.  An L1 term keeps only words
-that carry the label; it is the weaker, the more surely a word's share differs between the classes.
-
-The fit reads a bounded sample: at most `max_rows` labelled rows, chosen by a hash of doc_id, and
-the `max_features` words that differ most between the classes.  Scoring reads every whole text.
+In each labelled text that names a group, the identity term is swapped for others of its language and
+for a neutral noun, and the loss adds the squared change of the text's own log odds over these pairs,
+so a mention of a group moves a score no further than a neutral noun does.  A swap replaces every
+occurrence of the term in the text; words and stems that the text still has otherwise don't change.
+An L1 term keeps only words that carry the label; it is the weaker, the more surely a word's share
+differs between the classes.
+
+The fit reads a bounded sample: at most `max_rows` labelled rows, chosen by a hash of doc_id, of whose
+texts at most `max_terms` terms are swapped, each `copies` times and once for a neutral noun.  Its
+features are all words of the sample that stand in three texts or more and whose share differs between
+the classes by `LEAST_SURE` standard errors or more.  Scoring reads every whole text.
 
 Defined results: null or empty text scores as the intercept alone; a null doc_id is never held out, nor
 learnt from; of repeated labels the greatest counts, of repeated documents the greatest text; labels
 other than 0 and 1 are ignored; with no usable label, or one class only, every score is the
-share of label 1 (0 without labels); repeated rows score alike; other columns are never read.
+share of label 1 (0 without labels); where no labelled text names a group there is nothing to even
+out, and `Model.pairs` is 0; repeated rows score alike; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +33,31 @@ from pyspark.sql import functions as F
 
 from .common import slices, stage_table, with_columns
 
-#: Identity terms and the neutral nouns they are swapped with.
-IDENTITY = """asian black brown white arab african latino hispanic european american mexican chinese indian
-muslim muslims christian christians jew jews jewish hindu hindus buddhist catholic atheist atheists
-woman women man men girl girls boy boys gay lesbian bisexual transgender trans queer straight
-immigrant immigrants refugee refugees disabled deaf blind elderly old young""".split()
-NEUTRAL = "person people someone somebody".split()
+#: Identity terms by language, and the neutral nouns that stand in for them.
+IDENTITY = {
+    "en": """asian asians black blacks brown white whites arab arabs african africans latino latinos hispanic hispanics european europeans
+american americans mexican mexicans chinese indian indians muslim muslims christian christians jew jews jewish hindu hindus
+buddhist buddhists catholic catholics atheist atheists woman women man men girl girls boy boys gay gays lesbian lesbians
+bisexual transgender trans queer straight immigrant immigrants refugee refugees disabled deaf blind elderly old young""".split(),
+    "de": """asiaten schwarze schwarzen weiße weißen araber afrikaner europäer amerikaner mexikaner chinesen inder muslim muslime
+muslimen christ christen jude juden hindus buddhisten katholiken atheisten frau frauen mann männer mädchen junge jungen schwule
+lesben bisexuelle transgender migranten einwanderer flüchtling flüchtlinge behinderte gehörlose blinde alte junge""".split(),
+    "fr": """asiatiques noir noirs blanc blancs arabe arabes africain africains européens américains mexicains chinois indiens
+musulman musulmans chrétien chrétiens juif juifs hindous bouddhistes catholiques athées femme femmes homme hommes fille filles
+garçon garçons gay gays lesbiennes bisexuels transgenres immigré immigrés migrants réfugié réfugiés handicapés sourds aveugles vieux jeunes""".split(),
+    "es": """asiáticos negro negros blanco blancos árabe árabes africano africanos europeos americanos mexicanos chinos indios
+musulmán musulmanes cristiano cristianos judío judíos hindúes budistas católicos ateos mujer mujeres hombre hombres niña niñas
+niño niños gay gays lesbianas bisexuales transgénero inmigrante inmigrantes refugiado refugiados discapacitados sordos ciegos viejos jóvenes""".split(),
+}
+NEUTRAL = {"en": "person people someone somebody".split(), "de": "mensch menschen leute jemand".split(), "fr": "personne personnes gens quelqu'un".split(), "es": "persona personas gente alguien".split()}
 _EDGE = string.punctuation + "«»“”„‘’…¿¡–—"
 HELD_OUT_MOD = 5
 STEMS = (4, 5, 6, 7)
 #: Standard errors between the classes' shares from which a word's L1 penalty falls.
 SURE = 4.0
+#: Standard errors from which a word is a feature at all.
+LEAST_SURE = 4.0
+_TOKEN = re.compile(r"\S+")
 
 
 def words_of(text: str) -> set[str]:
@@ -49,6 +70,29 @@ def words_of(text: str) -> set[str]:
     return out
 
 
+def swap_term(text: str, term: str, other: str) -> str:
+    """The text with every occurrence of a term, whatever its case and the punctuation around it, swapped."""
+
+    def one(m):
+        token = m[0]
+        word = token.strip(_EDGE)
+        return token.replace(word, other) if word.lower() == term else token
+
+    return _TOKEN.sub(one, text)
+
+
+def counterfactuals(text: str, terms: dict[str, list[str]], neutral: dict[str, list[str]], copies: int, max_terms: int) -> list[str]:
+    """Copies of a text with one identity term swapped.  Which terms and which others is told by a hash of both."""
+    said = {t.strip(_EDGE).lower() for t in text.split()}
+    out = []
+    order = lambda term, xs: sorted(xs, key=lambda x: (zlib.crc32(f"{len(text)} {term} {x}".encode()), x))
+    for lang, names in terms.items():
+        for term in order("", said & set(names))[:max_terms]:
+            others = order(term, set(names) - {term})[:copies] + order(term, neutral.get(lang, []))[:1]
+            out += [swap_term(text, term, other) for other in others]
+    return out
+
+
 def remainder(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
@@ -58,70 +102,80 @@ def _texts(rows: pa.RecordBatch, column: str) -> list[str]:
 
 
 class Model:
-    """weight by word, and an intercept."""
+    """weight by word, an intercept, and how many counterfactual pairs the fit saw."""
 
-    def __init__(self, weights: dict[str, float], intercept: float):
-        self.weights, self.intercept, self.known = weights, intercept, frozenset(weights)
+    def __init__(self, weights: dict[str, float], intercept: float, pairs: int = 0):
+        self.weights, self.intercept, self.known, self.pairs = weights, intercept, frozenset(weights), pairs
 
     def score(self, text: str) -> float:
         z = self.intercept + sum(self.weights[w] for w in sorted(words_of(text) & self.known))
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def _solve(rows: list[list[int]], y: np.ndarray, words: list[str], l1, swap: float, steps: int) -> tuple[np.ndarray, float]:
-    """Proximal gradient steps (FISTA) on mean log loss + l1 |w| + swap * mean squared change under a swap.
+class Rows:
+    """A sparse matrix by (row, column, value)."""
+
+    def __init__(self, at: list[list[int]], values: list[list[float]] | None, columns: int):
+        self.shape = len(at), columns
+        self.row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+        self.column = np.array([k for a in at for k in a], np.int64)
+        self.value = np.array([v for r in values for v in r], float) if values is not None else np.ones(len(self.column))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * v[self.column], minlength=self.shape[0])
 
-    A term's features are its word and its stems, so a swap takes all of them along."""
-    n, f = len(rows), len(words)
-    x = np.zeros((n, f), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    n1 = max(1.0, y.sum())
-    n0 = max(1.0, n - y.sum())
-    p1, p0, p = x[y == 1].sum(0) / n1, x[y != 1].sum(0) / n0, (x.sum(0) + 1) / (n + 2)
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=self.value * r[self.row], minlength=self.shape[1])
+
+
+def objective(x: Rows, y: np.ndarray, d: Rows, l1: np.ndarray, swap: float, w: np.ndarray, intercept: float) -> float:
+    """Mean log loss + l1 |w| + swap * mean over the texts of the squared changes of their log odds."""
+    z = x.times(w) + intercept
+    return float((np.logaddexp(0, z) - y * z).mean() + (l1 * np.abs(w)).sum() + swap * (d.times(w) ** 2).sum() / len(y))
+
+
+def penalties(x: Rows, y: np.ndarray, l1: float) -> np.ndarray:
+    """Each word's L1 penalty."""
+    n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    p1, p0, p = x.back(y) / n1, x.back(1 - y) / n0, (x.back(np.ones(len(y))) + 1) / (len(y) + 2)
     sure = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    l1 = l1 * np.minimum(1, (SURE / np.maximum(sure, 1e-9)) ** 2)
-    index = {w: k for k, w in enumerate(words)}
+    return l1 * np.minimum(1, (SURE / np.maximum(sure, 1e-9)) ** 2)
 
-    def features(term):
-        out = np.zeros(f)
-        out[[index[w] for w in words_of(term) if w in index]] = 1
-        return out
-
-    others = [features(b) for b in [*IDENTITY, *NEUTRAL]]
-    swaps, share = [], []
-    for a in IDENTITY:
-        texts = float(x[:, index[a]].sum()) if a in index else 0.0
-        if texts:
-            mine = features(a)
-            swaps += [mine - b for b in others]
-            share += [texts / n / len(others)] * len(others)
-    d, c = (np.array(swaps, np.float32), np.array(share, np.float32)) if swaps else (np.zeros((0, f), np.float32), np.zeros(0, np.float32))
-
-    def curvature(v):
-        v = v.astype(np.float32)
-        return x.T @ (x @ v) / (4 * n) + 2 * swap * (d.T @ (c * (d @ v)))
-
-    v = np.ones(f)
+
+def solve(x: Rows, y: np.ndarray, d: Rows, l1: np.ndarray, swap: float, steps: int) -> tuple[np.ndarray, float]:
+    """Minimises the objective by accelerated proximal gradient steps.  d: for each swapped copy, its features
+    less the text's own.  Classes aren't evened out, as a score is the share of label 1."""
+    n = len(y)
+    dense = np.zeros(x.shape, np.float32)
+    dense[x.row, x.column] = x.value
+    dense = np.concatenate([dense, np.ones((n, 1), np.float32)], 1)  # the intercept, without a penalty
+    l1 = np.append(l1, 0.0)
+
+    def pull(v):
+        return np.append(2 * swap / n * d.back(d.times(v[:-1])), 0.0) if d.shape[0] else 0.0
+
+    v = np.ones(len(l1))
     for _ in range(30):  # the largest eigenvalue bounds the step
-        v = curvature(v / np.linalg.norm(v))
-    step = 1 / (1.2 * float(np.linalg.norm(v)) + 0.25)
-    w, intercept = np.zeros(f), 0.0
-    v, v0, t = w.copy(), intercept, 1.0
+        v = v / np.linalg.norm(v)
+        v = dense.T @ (dense @ v.astype(np.float32)) / (4 * n) + pull(v)
+    step = 1 / (1.05 * float(np.linalg.norm(v)))
+    w = np.zeros(len(l1))
+    v, t = w, 1.0
     for _ in range(steps):
-        r = (1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + v0, -30, 30))) - y) / n  # a score is the share of label 1, so classes aren't evened out
-        g = x.T @ r.astype(np.float32) + 2 * swap * (d.T @ (c * (d @ v.astype(np.float32))))
-        new = v - step * g
+        r = (1 / (1 + np.exp(-np.clip(dense @ v.astype(np.float32), -30, 30))) - y) / n
+        new = v - step * (dense.T @ r.astype(np.float32) + pull(v))
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new0 = v0 - step * float(r.sum())
         u = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, v0 = new + (t - 1) / u * (new - w), new0 + (t - 1) / u * (new0 - intercept)
-        w, intercept, t = new, new0, u
-    return w, intercept
+        if (v - new) @ (new - w) > 0:  # the momentum points uphill
+            u = 1.0
+        v = new + (t - 1) / u * (new - w)
+        w, t = new, u
+    return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_features: int = 1024, l1: float = 4e-4, swap: float = 1.0, steps: int = 600) -> Model:
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, l1: float = 4e-4, swap: float = 1.0, steps: int = 600, terms: dict[str, list[str]] = IDENTITY, neutral: dict[str, list[str]] = NEUTRAL, copies: int = 4, max_terms: int = 8) -> Model:
+    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0.  `terms` and `neutral` hold identity
+    terms and neutral nouns by language, in lower case."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder("doc_id", HELD_OUT_MOD) != 0))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -152,20 +206,29 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield flush()
 
     by_word = seen.mapInArrow(tally, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    gap = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("a") + F.col("b") + 1) / (n1 + n0))
-    top = by_word.where(F.col("a") + F.col("b") >= 3).orderBy(gap.desc(), "word").limit(max_features)
-    words = sorted({r["word"] for r in top.select("word").collect()} | set(IDENTITY) | set(NEUTRAL))
+    p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
+    sure = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    named = [x for lists in (terms, neutral) for names in lists.values() for x in names]
+    words = sorted({r["word"] for r in by_word.where((F.col("a") + F.col("b") >= 3) & (sure >= LEAST_SURE)).select("word").collect()} | set(named))
     index = {w: k for k, w in enumerate(words)}
 
     def features(batches):
         for rows, _, _ in slices(batches, "text"):
-            found = [sorted(index[w] for w in words_of(t) if w in index) for t in _texts(rows, "text")]
-            yield with_columns(rows, ["y"], f=pa.array(found, pa.list_(pa.int32())))
-
-    data = seen.mapInArrow(features, "y int, f array<int>").collect()
-    data = sorted((r["y"], list(r["f"])) for r in data)  # the order of rows must not sway the fit
-    w, intercept = _solve([f for _, f in data], np.array([y for y, _ in data], float), words, l1, swap, steps)
-    return Model({words[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-9)}, intercept)
+            found, swapped = [], []
+            for t in _texts(rows, "text"):
+                mine = {index[w] for w in words_of(t) if w in index}
+                found.append(sorted(mine))
+                copied = ({index[w] for w in words_of(c) if w in index} for c in counterfactuals(t, terms, neutral, copies, max_terms))
+                swapped.append([[*sorted(c - mine), -1, *sorted(mine - c)] for c in copied])  # what a swap adds, and what it takes
+            yield with_columns(rows, ["y"], f=pa.array(found, pa.list_(pa.int32())), swapped=pa.array(swapped, pa.list_(pa.list_(pa.int32()))))
+
+    data = seen.mapInArrow(features, "y int, f array<int>, swapped array<array<int>>").collect()
+    data = sorted((r["y"], list(r["f"]), [list(s) for s in r["swapped"]]) for r in data)  # the order of rows must not sway the fit
+    x, y = Rows([f for _, f, _ in data], None, len(words)), np.array([y for y, _, _ in data], float)
+    pairs = [s for _, _, swaps in data for s in swaps]
+    d = Rows([[k for k in s if k >= 0] for s in pairs], [[1.0] * s.index(-1) + [-1.0] * (len(s) - 1 - s.index(-1)) for s in pairs], len(words))
+    w, intercept = solve(x, y, d, penalties(x, y, l1), swap, steps)
+    return Model({words[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-9)}, intercept, len(pairs))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

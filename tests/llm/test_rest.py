@@ -38,7 +38,7 @@ NASTY = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<",
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "</s>"]), NASTY), min_size=1, max_size=4), min_size=5, max_size=20))
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "</s>", "a\nb", "<br>", "<\\br>\n", "\n"]), NASTY), min_size=1, max_size=4), min_size=5, max_size=20))
 def test_chat_round_trip(spark, convs):
     rows = [(i, k, role, text) for i, turns in enumerate(convs) for k, (role, text) in enumerate(turns)]
     got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -46,6 +46,8 @@ def test_chat_round_trip(spark, convs):
         r = got[i]
         assert [(t["role"], t["text"]) for t in r["turns"]] == turns and r["verified"]
         assert r["loss_text"] == "".join(t for role, t in turns if role == "assistant")
+        masked = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        assert "".join(re.sub(r"([<\[])\\(\\*)(/?s>|/?INST\])", r"\1\2\3", x) for x in masked) == r["loss_text"]
         assert r["formatted"].count("</s>") == len(turns) and r["formatted"].count("<s>") == len(turns)
 
 
@@ -54,7 +56,7 @@ def test_chat_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as t", "'s' as source", "2 as formatted")
     got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
     assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", ""), ("assistant", "b"), ("assistant", "b")] and got[1]["loss_text"] == "bb"
-    assert got[None]["turns"][0]["role"] == "user x" and all(r["verified"] for r in got.values())
+    assert got[None]["turns"][0]["role"] == "user\nx" and got[None]["formatted"] == "<s>[INST] user<br>x\nq</s>" and all(r["verified"] for r in got.values())
     assert chat.format_conversations(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, 0, "assistant", "x </s> " * 50_000)], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(long).select(F.char_length("loss_text")).first()[0] == 350_000
@@ -104,11 +106,23 @@ def test_urls(spark, table):
     assert urls.fit(spark.createDataFrame([], "url string, label int")).score("a.com", "/") < 0
 
 
-def test_url_classifier_on_other_hosts(spark):
+def test_url_classifier_on_held_out_urls(spark, table):
+    known = urls.labelled_urls()
+    assert len({u for u, _ in known}) == len(known) and 20 < sum(urls.held_out(u) for u, _ in known) < 50
+    model = urls.fit(spark.createDataFrame([r for r in known if not urls.held_out(r[0])], "url string, label int"))
+    right = [(model.score(*url_by_hand(u)[:2]) > 0) == y for u, y in known if urls.held_out(u)]
+    assert sum(right) / len(right) > 0.7
+    # no word of a labelled host stands in a host of the test tables
+    words = lambda host: set(re.split(r"[.\-]", host)) - {"www", "blog", "m", "com", "net", "org"}
+    theirs = set().union(*(words(url_by_hand(r["url"])[0]) for r in table("pages", "/root/testdata/sf0.01").collect()))
+    assert not theirs & set().union(*(words(url_by_hand(u)[0]) for u, _ in known))
+
+
+def test_long_urls(spark):
+    rows = [(1, "http://a.com/" + "x" * 200_000), (2, "http://" + "h" * 50_000), (3, "x" * 100_000)]
     model = urls.fit(spark.createDataFrame(urls.labelled_urls(), "url string, label int"))
-    bad = ["www.casino-win.example.org", "m.free-bets.example.com", "cheap-pills2.example.net", "big-casino.example.com", "my.spam-farm.info"]
-    good = ["blog.thandor.example.net", "www.rivertown-school.example.org", "erthe.example.com", "m.hathin.example.net", "tionre.example.org"]
-    assert all(model.score(h, "/fr/12") > 0 for h in bad) and sum(model.score(h, "/fr/12") > 0 for h in good) == 0
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), model, queries.URL_RULES).collect()}
+    assert (len(got[1]["path"]), len(got[2]["host"]), got[3]["host"], got[3]["path"]) == (200_001, 50_000, "", "")
 
 
 # ── top-k ──

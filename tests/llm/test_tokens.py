@@ -3,9 +3,10 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,10 +48,13 @@ def test_counts_of_documents(spark, table, odd, none, unigram, rows_of):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ODD_TEXT, max_size=6))
-def test_bpe_is_the_librarys(texts):
-    lib = tokens.rank_encoding(tokens.BPE_RANKS)
-    for t, (ids, raw) in zip(texts, bpe.Encoder(tokens.BPE_RANKS).encode(texts)):
-        assert ids == " ".join(map(str, lib.encode_ordinary(t))) and raw == t.encode()
+def test_pieces_are_the_librarys(texts):
+    lib, r = tokens.rank_encoding(tokens.BPE_RANKS), bpe.load(tokens.BPE_RANKS)
+    pieces = sorted({p for t in texts for p in bpe.pieces_of(t)})
+    ids = dict(zip(pieces, bpe.learn(pieces, r)))
+    for t in texts:
+        got = [i for p in bpe.pieces_of(t) for i in ids[p]]
+        assert got == lib.encode_ordinary(t) and bpe.decode_ids(np.array(got, np.int64), r) == t.encode()
 
 
 def test_replay_agrees_with_the_plain_rule():
@@ -85,13 +89,27 @@ def test_letters_and_spaces_are_the_patterns():
         assert bpe._plain(f"a{c} b") == (not bpe._PLAIN.search(f"a{c} b"))
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
-    e, lib = bpe.Encoder(tokens.BPE_RANKS), tokens.rank_encoding(tokens.BPE_RANKS)
-    for k in range(5):
-        texts = [f"piece{k}x{i} and more{i}" for i in range(40)] + ["x" * 200]
-        assert [s for s, _ in e.encode(texts)] == [" ".join(map(str, lib.encode_ordinary(t))) for t in texts]
-        assert not any(len(p) > bpe.LONG_PIECE for p in e.names)
+def test_every_piece_of_the_corpus_is_replayed_once(spark, monkeypatch):
+    """Small chunks and many buckets: the same pieces are asked for by many chunks."""
+    lib = tokens.rank_encoding(tokens.BPE_RANKS)
+    rows = [(i % 7 if i % 5 else None, f"some words{i % 3} said\nagain, number {i}!  end " * (i % 4)) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(bpe, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    made = [r for b in bpe._chunked(5)(iter([batch.slice(k, 4) for k in range(0, 60, 4)])) for r in b.to_pylist()]
+    asked = sorted((r["bucket"], r["chunk"], r["pieces"]) for r in made if r["kind"] == 1)
+    ask = pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked]), pa.array([a[1] for a in asked]), pa.array([a[2] for a in asked], pa.list_(pa.string()))], ["bucket", "chunk", "pieces"])
+    learnt = []
+    learn = bpe.learn
+    monkeypatch.setattr(bpe, "learn", lambda pieces, r: learnt.extend(pieces) or learn(pieces, r))
+    answers = [r for b in bpe._answers(tokens.BPE_RANKS)(iter([ask.slice(0, 7), ask.slice(7)])) for r in b.to_pylist()]
+    assert len({r["chunk"] for r in made}) > 5 and len(learnt) == len(set(learnt)) == len({p for a in asked for p in a[2]})
+    assert {(r["bucket"], r["chunk"]) for r in answers} == {a[:2] for a in asked}
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["ids"]) for r in bpe.encode(df).collect()))
+    assert got == sorted((i is None, i or 0, lib.encode_ordinary(t)) for i, t in rows)
 
 
 def test_bpe_of_documents(spark, table, odd, none, rows_of):
@@ -182,6 +200,16 @@ def test_packing_of_documents(spark, table, odd, none, rows_of):
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in with_ids)
 
 
+def test_equal_rows_of_many_tasks_are_dealt_apart(spark):
+    """The n-th copies of all tasks don't meet in one group either."""
+    groups = Counter(packing.deal(packing.hash_row(1, np.arange(3, dtype="<u4"), 17), twin, task, 50) for task in range(200) for twin in range(5))
+    assert len(groups) == 50 and max(groups.values()) < 60
+    rows = spark.createDataFrame([(1, "same text")] * 400 + [(None, None)] * 40, "doc_id long, text string").repartition(40)
+    got = packing.pack(rows, group_docs=40).collect()
+    sizes = Counter(r["sequence_id"] >> 24 for r in got)
+    assert len(sizes) > 8 and max(sizes.values()) < 120 and sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}[i] * n for i, n in ((1, 400), (None, 40)))
+
+
 def test_equal_rows_are_dealt_apart(spark):
     rows = spark.createDataFrame([(1, "same text")] * 200, "doc_id long, text string")
     got = packing.pack(rows, group_docs=20).collect()
