@@ -17,9 +17,14 @@ Data flow; all of it grows with the input, and no text or table of words reaches
 3. Statistics: how often each leaf follows each hashed context in training documents, from all chunks,
    added up by Spark.  Leaves, classes and context codes are sized from the counted vocabulary (Shape),
    so that the table grows with it; the weights, which the driver holds, grow as its power 2/3.
-4. Training: each epoch sends the weights to the tasks that hold the statistics' partitions; each
-   returns its gradient by the features it meets, the driver adds them and takes a step (Adam).
-5. Scores: each chunk meets its answers again and is scored in numpy batches.
+4. Training: each epoch sends the weights to the tasks that hold the statistics' partitions; their
+   gradients are added up by blocks of features, and the driver takes a step (Adam) with the sum.
+5. Scores: each chunk meets its answers again and is scored in sparse numpy batches: of the weights
+   only those of a position's four features and of its own class and leaf are read; what normalises
+   them depends on the hashed context alone and is worked out once for each.
+
+No task's memory grows with the input: a chunk, a bucket and the cells of a statistics part have fixed
+sizes, and parts are merged as they come.
 
 Defined results: null or empty text is the end token alone; a null doc_id is never held out; repeated
 rows are scored alike, and count as often as they stand there; an empty table gives no rows; with no
@@ -51,6 +56,9 @@ FEATURES = 1 + H1 + H2 + H12
 STAT_PARTS = 8
 STEP = 1 << 15  # distinct training tokens up to which the sizes above hold; they double with each eightfold of it
 BLOCK = 512  # contexts that are handled at once
+PENDING = 1_000_000  # cells of a statistics part that wait to be added up
+FEATURE_BLOCK = 64  # features whose gradients are added up together
+BUCKET_BYTES = 32 << 20  # of text for each bucket of tokens
 
 
 class Shape(NamedTuple):
@@ -59,8 +67,8 @@ class Shape(NamedTuple):
     scale: int = 1
 
     @classmethod
-    def of(cls, vocabulary: int) -> Shape:
-        return cls(1 << max(0, (max(vocabulary, 1) // STEP).bit_length() - 1) // 3)
+    def of(cls, vocabulary: int, step: int | None = None, size: int = 1) -> Shape:
+        return cls(size << max(0, (max(vocabulary, 1) // (step or STEP)).bit_length() - 1) // 3)
 
     own = property(lambda self: OWN * self.scale)
     shared = property(lambda self: SHARED * self.scale)
@@ -104,7 +112,8 @@ def _chunked(buckets: int, schema: pa.Schema):
             kind = np.uint16 if len(tokens) <= 65536 else np.uint32
             at = np.array([zlib.crc32(t) % buckets for t in tokens], np.int64)
             order = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+            met, heads = np.unique(at[order], return_index=True)
+            cuts = [*heads.tolist(), len(order)]
             chunk = part << 32 | number
             rows = {k: [] for k in schema.names}
 
@@ -113,10 +122,9 @@ def _chunked(buckets: int, schema: pa.Schema):
                     rows[k].append(values.get(k))
 
             add(kind=0, chunk=chunk, names=names, lengths=lengths, train=train, tokens=b"\n".join(tokens), width=np.dtype(kind).itemsize, body=flat.astype(kind).tobytes())
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    sub = order[cuts[b] : cuts[b + 1]]
-                    add(kind=1, chunk=chunk, bucket=b, tokens=b"\n".join([tokens[i] for i in sub.tolist()]), body=learn[sub].tobytes())
+            for k, b in enumerate(met.tolist()):
+                sub = order[cuts[k] : cuts[k + 1]]
+                add(kind=1, chunk=chunk, bucket=b, tokens=b"\n".join([tokens[i] for i in sub.tolist()]), body=learn[sub].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), schema.types)], schema=schema)
 
         for batch, data, offsets in slices(batches, "text"):
@@ -140,13 +148,11 @@ def _chunked(buckets: int, schema: pa.Schema):
 
 
 def _answers(batches, most: Shape):
-    """Counts for each request; the most frequent tokens of each bucket; totals by shared leaf of the
-    largest shape that the input may need, of whose leaves those of smaller shapes are made up."""
-    by: dict[int, list[tuple[int, bytes, bytes]]] = {}
-    for batch in batches:
-        for bucket, chunk, tokens, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            by.setdefault(bucket, []).append((chunk, tokens, body))
-    for bucket, asked in by.items():
+    """For rows sorted by bucket: counts for each request; the bucket's most frequent tokens; totals by shared
+    leaf of the largest shape that the input may need, of whose leaves those of smaller shapes are made up."""
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def answer(bucket, asked):
         total: dict[bytes, int] = {}
         get = total.get
         for _, tokens, body in asked:
@@ -157,13 +163,22 @@ def _answers(batches, most: Shape):
         top = sorted(seen, key=lambda x: (-x[0], x[1]))[: most.own]
         rows += [(1, None, None, None, t, c, 1) for c, t in top]
         n, v = np.zeros(most.shared, np.int64), np.zeros(most.shared, np.int64)
-        for c, t in seen:
-            k = ending(t) % most.shared
-            n[k] += c
-            v[k] += 1
+        at = np.fromiter((ending(t) for _, t in seen), np.int64, len(seen)) % most.shared
+        np.add.at(n, at, np.fromiter((c for c, _ in seen), np.int64, len(seen)))
+        np.add.at(v, at, 1)
         rows += [(2, k, None, None, None, int(n[k]), int(v[k])) for k in np.flatnonzero(n).tolist()]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kind", "chunk", "bucket", "counts", "token", "n", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kind", "chunk", "bucket", "counts", "token", "n", "v"])
+
+    at, asked = None, []
+    for batch in batches:
+        for i, (bucket, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if bucket != at and asked:
+                yield answer(at, asked)
+                asked = []
+            at = bucket
+            asked.append((chunk, batch.column(2)[i].as_py(), batch.column(3)[i].as_py()))
+    if asked:
+        yield answer(at, asked)
 
 
 class Codes:
@@ -250,17 +265,42 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step), n
 
 
+def _sum(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, heads = np.unique(code[order], return_index=True)
+    return code, np.add.reduceat(n[order], heads)
+
+
 def _merge(batches):
-    """One row of statistics for each part."""
-    by: dict[int, list[bytes]] = {}
+    """For rows sorted by part: one row of statistics for each.  What has come is added up as it grows past
+    twice the part's cells."""
+
+    def row(part, codes, counts):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(*_sum(codes, counts))], pa.binary())], ["part", "body"])
+
+    at, codes, counts, held, cells = None, [], [], 0, 0
     for batch in batches:
-        for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by.setdefault(part, []).append(body)
-    for part in sorted(by):
-        code, n = (np.concatenate(x) for x in zip(*map(_unpack, by.pop(part))))
-        order = np.argsort(code, kind="stable")
-        code, heads = np.unique(code[order], return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(code, np.add.reduceat(n[order], heads))], pa.binary())], ["part", "body"])
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            if part != at and codes:
+                yield row(at, codes, counts)
+                codes, counts, held, cells = [], [], 0, 0
+            at = part
+            code, n = _unpack(batch.column(1)[i].as_py())
+            codes.append(code)
+            counts.append(n)
+            held += len(code)
+            if held > 2 * cells + PENDING:
+                code, n = _sum(codes, counts)
+                codes, counts, held, cells = [code], [n], len(code), len(code)
+    if codes:
+        yield row(at, codes, counts)
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The sum of a block's gradients, in an order of their own, so that a rerun gives the same model."""
+    total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in sorted(rows.column("g").to_pylist()))
+    return pa.table({"block": rows.column("block")[:1], "g": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
 def _train(stats: DataFrame, totals: np.ndarray, epochs: int, rate: float, l2: float, shape: Shape = SMALL) -> np.ndarray:
@@ -290,16 +330,15 @@ def _train(stats: DataFrame, totals: np.ndarray, epochs: int, rate: float, l2: f
                     counts = np.zeros((len(context[i : i + BLOCK]), shape.leaves))
                     counts[row[lo:hi] - i, leaf[lo:hi]] = k[lo:hi]
                     gradient(sent.value, context[i : i + BLOCK], counts, shape, g)
-            at = np.flatnonzero(g.any(1)).astype("<i8")
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([g[at].astype("<f4").tobytes()], pa.binary())], ["at", "g"])
+            at = np.flatnonzero(g.any(1))
+            for block in np.unique(at // FEATURE_BLOCK).tolist():
+                mine = g[block * FEATURE_BLOCK : (block + 1) * FEATURE_BLOCK].astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mine.tobytes()], pa.binary())], ["block", "g"])
 
-        # sums in an order of their own: the gradients are sorted, so that a rerun gives the same model
         g = np.zeros_like(weights)
-        rows = parts.mapInArrow(grad, "at binary, g binary").collect()
-        for row in sorted(rows, key=lambda r: (r["g"], r["at"])):
-            g[np.frombuffer(row["at"], "<i8")] += np.frombuffer(row["g"], "<f4").reshape(-1, g.shape[1])
-        del rows, row
+        for row in parts.mapInArrow(grad, "block int, g binary").groupBy("block").applyInArrow(_add_up, "block int, g binary").collect():
+            mine = np.frombuffer(row["g"], "<f4").reshape(-1, g.shape[1])
+            g[row["block"] * FEATURE_BLOCK :][: len(mine)] = mine
         sent.destroy()
         g /= n
         g -= l2 * weights
@@ -313,15 +352,19 @@ def _train(stats: DataFrame, totals: np.ndarray, epochs: int, rate: float, l2: f
     return weights
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = 24, rate: float = 0.15, l2: float = 1e-6) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: int = 24, rate: float = 0.15, l2: float = 1e-6, step: int | None = None, scale: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (the
-    model's); both are log10 probabilities of the whole text."""
+    model's); both are log10 probabilities of the whole text.
+
+    The model starts at `scale` times 256 leaves (160 of them for one token each), 16 classes, contexts of
+    128 x 32 codes and 512 trigram buckets, up to `step` (STEP) distinct training tokens; leaves, codes and
+    buckets double with each eightfold of these, so contexts x leaves grow in proportion to the tokens."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_MOD == HELD_OUT, F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, size // (8 << 20))
+    buckets = max(64, size // BUCKET_BYTES)
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
 
     spark_schema = f"kind int, chunk long, bucket int, names array<{kind}>, lengths array<int>, train array<boolean>, tokens binary, width int, body binary"
@@ -330,11 +373,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
     chunked = stage_table(rows.withColumn("train", ~held_out).mapInArrow(_chunked(buckets, schema), spark_schema), "lm_chunks")
     chunks, asked = chunked.where("kind = 0"), chunked.where("kind = 1")
 
-    most = Shape.of(size)  # there are fewer tokens than bytes
-    answered = asked.select("bucket", "chunk", "tokens", "body").repartition(wide, "bucket").mapInArrow(lambda batches: _answers(batches, most), "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
+    most = Shape.of(size, step, scale)  # there are fewer tokens than bytes
+    answered = asked.select("bucket", "chunk", "tokens", "body").repartition(wide, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, most), "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
     answered = stage_table(answered, "lm_counts")
     v_all = answered.where("kind = 2").agg(F.sum("v")).first()[0] or 0
-    shape = Shape.of(v_all)
+    shape = Shape.of(v_all, step, scale)
     top = [(bytes(r["token"]), r["n"]) for r in answered.where("kind = 1").orderBy(F.col("n").desc(), "token").limit(shape.own).select("token", "n").collect()]
     ends = dict(top).get(END)
     if ends is None and top:  # the end is a token as any other, but always has a leaf
@@ -376,7 +419,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
             yield from flush()
 
     counted = chunks.select("lengths", "train", "tokens", "width", "body").mapInArrow(count, "part int, body binary")
-    stats = stage_table(counted.repartition(STAT_PARTS * shape.scale, "part").mapInArrow(_merge, "part int, body binary"), "lm_statistics")
+    stats = stage_table(counted.repartition(STAT_PARTS * shape.scale, "part").sortWithinPartitions("part").mapInArrow(_merge, "part int, body binary"), "lm_statistics")
 
     def by_leaf(batches):
         for body in (x for b in batches for x in b.column(0).to_pylist()):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -320,6 +321,53 @@ def test_scores(spark, table, rows_of):
     assert all(math.isclose(again[r["doc_id"]], r["score"], rel_tol=1e-6) for r in got)
 
 
+def test_scores_by_the_plain_definition(spark, monkeypatch):
+    """Token by token from the trained weights: both softmaxes over every class and leaf, then the share in the leaf."""
+    caught, train = [], scoring._train
+    monkeypatch.setattr(scoring, "_train", lambda *a: caught.append(train(*a)) or caught[0])
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}{'.' if k % 4 == 0 else ''}" for k in rng.geometric(0.006, 12).tolist())) for i in range(70)] + [(None, "w1 never.seen W2"), (71, None), (71, "w3 w3")]
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), epochs=4).collect()}
+    shape, w = scoring.Shape.of(700), caught[0]
+    assert w.shape == (shape.features, shape.classes + shape.leaves)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words = [[*(t or "").lower().encode().split(), b""] for _, t in rows]
+    c = Counter(x for (i, _), ws in zip(rows, words) if not held(i) for x in ws)
+    own = [t for t, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: shape.own]]
+    assert len(c) > shape.own + 100
+    codes = scoring.Codes(own, shape)
+    code = lambda t: [int(x[0]) for x in codes.of([t])]
+    inside_n, inside_v = Counter(), Counter()
+    for t, n in c.items():
+        inside_n[code(t)[0]] += n
+        inside_v[code(t)[0]] += 1
+    for (i, _), ws in zip(rows, words):
+        total = 0.0
+        for k, t in enumerate(ws):
+            a, b = (code(ws[k - 1])[1] if k else 0), (code(ws[k - 2])[2] if k > 1 else 0)
+            trigram = ((a * 2654435761 + b * 40503) >> 7) % shape.h12
+            z = w[0] + w[1 + a] + w[1 + shape.h1 + b] + w[1 + shape.h1 + shape.h2 + trigram]
+            leaf, per = code(t)[0], shape.leaves // shape.classes
+            group = leaf // per
+            mine = z[shape.classes + group * per : shape.classes + (group + 1) * per]
+            total += z[group] - math.log(sum(map(math.exp, z[: shape.classes]))) + mine[leaf % per] - math.log(sum(map(math.exp, mine)))
+            if leaf >= len(own):
+                total += math.log((c[t] + 1) / (inside_n[leaf] + inside_v[leaf] + 1))
+        assert math.isclose(got[i, len(ws)], total / math.log(10), rel_tol=1e-4), (i, got[i, len(ws)], total / math.log(10))
+
+
+def test_statistics_are_added_up_as_they_come(monkeypatch):
+    monkeypatch.setattr(scoring, "PENDING", 10)
+    rng, want, batches = np.random.default_rng(1), defaultdict(Counter), []
+    for part in (0, 0, 0, 0, 3, 3, 5):
+        code = np.unique(rng.integers(0, 60, 25))
+        n = rng.integers(1, 9, len(code))
+        want[part].update(dict(zip(code.tolist(), n.tolist())))
+        batches.append(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([scoring._pack(code, n)], pa.binary())], ["part", "body"]))
+    got = {b.column(0)[0].as_py(): dict(zip(*(x.tolist() for x in scoring._unpack(b.column(1)[0].as_py())))) for b in scoring._merge(iter(batches))}
+    assert got == {k: dict(v) for k, v in want.items()}
+
+
 def test_the_model_beats_the_base_on_held_out_text(spark):
     got = [r for r in queries.op5_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
