@@ -264,10 +264,11 @@ def _candidates(docs: DataFrame, vectors: DataFrame, width: int, t: Threshold, s
         def flush():
             pairs = np.concatenate(held)
             to = (pairs[:, 0] % _U(buckets)).astype(np.int64)
-            pairs = pairs[np.argsort(to, kind="stable")]
-            cuts = np.searchsorted(np.sort(to), np.arange(buckets + 1))
-            rows = [(b, pairs[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "pairs"])
+            order = np.argsort(to, kind="stable")
+            pairs = pairs[order]
+            met, heads = np.unique(to[order], return_index=True)  # only buckets that have pairs
+            cuts = [*heads.tolist(), len(pairs)]
+            return pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array([pairs[cuts[k] : cuts[k + 1]].tobytes() for k in range(len(met))], pa.binary())], ["bucket", "pairs"])
 
         for _, data, offsets in slices(batches, "text"):
             fresh, keys = [], []
@@ -287,14 +288,21 @@ def _candidates(docs: DataFrame, vectors: DataFrame, width: int, t: Threshold, s
         if count:
             yield flush()
 
-    def collide(batches):
-        by: dict[int, list[np.ndarray]] = {}
+    def by_bucket(batches):
+        """The pairs of one bucket after another, from rows sorted by bucket."""
+        at, parts = None, []
         for batch in batches:
-            for b, pairs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(b, []).append(np.frombuffer(pairs.as_buffer(), _U).reshape(-1, 2))
-        for parts in by.values():
-            pairs = np.concatenate(parts)
-            parts.clear()
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != at and parts:
+                    yield np.concatenate(parts)
+                    parts = []
+                at = b
+                parts.append(np.frombuffer(batch.column(1)[i].as_py(), _U).reshape(-1, 2))
+        if parts:
+            yield np.concatenate(parts)
+
+    def collide(batches):
+        for pairs in by_bucket(batches):
             key = np.ascontiguousarray(pairs[:, 1]).view(np.int64)
             order = np.lexsort((key, pairs[:, 0]))
             sig, key = pairs[order, 0], key[order]
@@ -325,7 +333,7 @@ def _candidates(docs: DataFrame, vectors: DataFrame, width: int, t: Threshold, s
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
-    dealt = docs.select("text").mapInArrow(emit, "bucket int, pairs binary").repartition(spread, "bucket")
+    dealt = docs.select("text").mapInArrow(emit, "bucket long, pairs binary").repartition(spread, "bucket").sortWithinPartitions("bucket")
     members = stage_table(dealt.mapInArrow(collide, "cluster long, lo int, hi int, tile int, key long"), "block_members")
     points = members.join(vectors, "key").select("cluster", "lo", "hi", "tile", "key", "vector")
     return points.repartition(spread, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "key").mapInArrow(refine, "a long, b long")
