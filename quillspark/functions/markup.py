@@ -39,11 +39,15 @@ def runs_markdown(runs) -> Column:
     return F.aggregate(_c(runs), start, step, closed)
 
 
+#: What follows the first keyword of a field instruction, and the URL there, quoted or bare.
+HYPERLINK_REST = r"(?is)hyperlink(.*)"
+HYPERLINK_URL = r'\A\s*(?:"([^"]*)"?|([^\s\\"][^\s\\]*))'
+
+
 def hyperlink_url(instruction) -> Column:
-    """The URL of a HYPERLINK field instruction, quoted or bare; else null."""
-    pattern = r'(?i)hyperlink\s*(?:"([^"]*)"?|([^\s\\"][^\s\\]*))'
-    c = _c(instruction)
-    return F.when(c.rlike(pattern), F.nullif(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)), F.lit("")))
+    """The URL after the first HYPERLINK keyword of a field instruction, quoted or bare; else null."""
+    rest = F.regexp_extract(_c(instruction), HYPERLINK_REST, 1)
+    return F.nullif(F.concat(F.regexp_extract(rest, HYPERLINK_URL, 1), F.regexp_extract(rest, HYPERLINK_URL, 2)), F.lit(""))
 
 
 def heading_level(style) -> Column:

@@ -16,23 +16,42 @@ LAST_SERIAL = 2_958_465  # 9999-12-31
 
 
 def format_number(c) -> Column:
-    """Whole numbers below 2^53 without a point, others with up to ten decimals.
-
-    Rounds the shortest decimal form of the number; format_number_exact() rounds its binary value.  They
-    differ only where that form has more than ten decimals and a tie at the eleventh."""
+    """Whole numbers below 2^53 without a point, others with up to ten decimals: the exact binary value
+    rounded, halves to even, as exact_number() does for one value (from 2^63 on, the shortest form's digits)."""
     c = _c(c).cast("double")
-    fixed = F.format_string("%.10f", c)
-    cut = F.regexp_replace(F.regexp_replace(fixed, r"0+\z", ""), r"\.\z", "")
-    whole = (F.floor(c).cast("double") == c) & (F.abs(c) < float(1 << 53))
+    size = F.abs(c)
+    units, tenths = _ten_decimals(size)
+    cut = F.regexp_replace(F.concat(F.when(c < 0, "-").otherwise(""), units.cast("string"), F.lit("."), F.lpad(tenths.cast("string"), 10, "0")), r"\.?0+\z", "")
+    fixed = F.regexp_replace(F.format_string("%.10f", c), r"\.0+\z", "")
     return (
         F.when(F.isnan(c), "NaN")
         .when(c == float("inf"), "inf")
         .when(c == float("-inf"), "-inf")
-        .when(whole, F.floor(c).cast("string"))
-        .otherwise(cut)
+        .when((F.floor(c).cast("double") == c) & (size < float(1 << 62)), c.cast("long").cast("string"))
+        .when(size < float(1 << 53), cut)
+        .otherwise(fixed)
     )
 
 
+def _ten_decimals(size: Column) -> tuple[Column, Column]:
+    """The whole part, and the fraction in units of 10^-10, of a number from 0 to 2^53.
+
+    The fraction is exact in a double; its product with 10^10 is, together with the product's rounding error,
+    which Dekker's splitting gives."""
+    units = F.floor(size).cast("long")
+    part, scale, split = size - units.cast("double"), 1e10, float((1 << 27) + 1)
+    high = split * part - (split * part - part)
+    low = part - high
+    scale_high = split * scale - (split * scale - scale)
+    scale_low = scale - scale_high
+    product = part * scale
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    below = F.floor(product)
+    beyond = (product - below.cast("double") - 0.5) + error  # half a unit
+    n = below.cast("long") + F.when((beyond > 0) | ((beyond == 0) & (below % 2 == 1)), 1).otherwise(0)
+    return units + F.when(n == 10**10, 1).otherwise(0), F.when(n == 10**10, 0).otherwise(n)
+
+
 def exact_number(x: float) -> str:
     """format_number() for one value, by its exact binary expansion."""
     if math.isnan(x):

@@ -26,14 +26,25 @@ def links_of(rels: Column) -> Column:
     return F.filter(rels, lambda r: (r["rid"] != "") & (r["target"] != "") & ((F.lower(r["mode"]) == "external") | r["type"].endswith("/hyperlink")))
 
 
-def target_of(rels: Column, rid: Column) -> Column:
-    """The target of the last relationship with this id."""
-    return _last(F.filter(rels, lambda r: r["rid"] == rid))["target"]
+def by_key(array: Column, key, value) -> Column:
+    """A map of an array's elements: value(those of one key, in order) by key.  Made once a part, so that runs and
+    cells look up what is theirs instead of searching the array."""
 
+    def made(keyed):
+        keys = F.array_distinct(F.transform(keyed, lambda e: e["k"]))
+        return let(keys, lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: value(F.filter(keyed, lambda e: e["k"] == k)))))
 
-def bind(runs: Column, links: Column) -> Column:
+    return let(F.transform(array, lambda e: F.struct(key(e).alias("k"), e.alias("e"))), made)
+
+
+def targets(links: Column) -> Column:
+    """Target by relationship id; of equal ids the last counts."""
+    return by_key(links, lambda r: r["rid"], lambda mine: _last(mine)["e"]["target"])
+
+
+def bind(runs: Column, targets: Column) -> Column:
     """Runs with their links resolved; an unknown id is no link."""
-    return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), F.when(r["link_rid"].isNotNull(), target_of(links, r["link_rid"])).alias("link_url")))
+    return F.transform(runs, lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), F.when(r["link_rid"].isNotNull(), F.try_element_at(targets, r["link_rid"])).alias("link_url")))
 
 
 def _plain(runs: Column) -> Column:
@@ -81,10 +92,9 @@ def _definitions(images: Column) -> Column:
 
 
 def docx_markdown(record: Column, images: bool = False) -> Column:
-    links = links_of(record["rels"])
     pictures = docx_images(record)
 
-    def paragraph(b):
+    def paragraph(b, links):
         return let(text.rtrim_u(markup.runs_markdown(bind(b["runs"], links))), lambda t: styled(b, t))
 
     def styled(b, t):
@@ -97,13 +107,13 @@ def docx_markdown(record: Column, images: bool = False) -> Column:
             .otherwise(F.concat(t, F.lit("\n\n")))
         )
 
-    def piece(b, i):
+    def piece(b, i, links):
         rows = F.transform(b["rows"], lambda r: F.transform(r, lambda c: _cell_text(c, lambda p: markup.runs_markdown(bind(p, links)))))
         shown = F.filter(pictures, lambda x: (x["block"] == i) & x["mime"].isNotNull()) if images else None
         image = F.coalesce(F.concat(binary.image_inline(_first(shown)["label"]), F.lit("\n\n")), F.lit("")) if images else F.lit("")
-        return F.when(b["kind"] == "paragraph", paragraph(b)).when(b["kind"] == "table", table_markdown(rows)).otherwise(image)
+        return F.when(b["kind"] == "paragraph", paragraph(b, links)).when(b["kind"] == "table", table_markdown(rows)).otherwise(image)
 
-    body = F.array_join(F.transform(record["blocks"], piece), "")
+    body = let(targets(links_of(record["rels"])), lambda links: F.array_join(F.transform(record["blocks"], lambda b, i: piece(b, i, links)), ""))
     return F.concat(body, _definitions(pictures)) if images else body
 
 
@@ -112,7 +122,8 @@ def docx_markdown(record: Column, images: bool = False) -> Column:
 
 def date_styles(xfs: Column, formats: Column) -> Column:
     """For each style: whether its number format is a date, built in or by its code."""
-    return F.transform(xfs, lambda x: numbers.is_date_format_id(x) | F.exists(formats, lambda f: (f["id"] == x) & numbers.is_date_format_code(f["code"])))
+    custom = F.transform(F.filter(formats, lambda f: numbers.is_date_format_code(f["code"])), lambda f: f["id"])
+    return let(custom, lambda dates: F.transform(xfs, lambda x: numbers.is_date_format_id(x) | F.coalesce(F.array_contains(dates, x), F.lit(False))))
 
 
 def xlsx_value(cell: Column, shared: Column, is_date: Column) -> Column:
@@ -124,8 +135,11 @@ def xlsx_value(cell: Column, shared: Column, is_date: Column) -> Column:
 
 
 def dense(cells: Column, width: Column, value) -> Column:
-    """A row of cells (unique columns) as an array of `width` values, "" where there is none."""
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(value(_first(F.filter(cells, lambda c: c["col"] == k))), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    """A row of cells (unique columns) as an array of `width` values, "" where there is none.  Each value is
+    worked out once, and a column finds its own in a map."""
+    by_column = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["col"], value(c))))
+    filled = lambda m: F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(F.try_element_at(m, k), F.lit("")))
+    return F.when(width > 0, let(by_column, filled)).otherwise(F.array().cast("array<string>"))
 
 
 def xlsx_sheets(record: Column) -> Column:
@@ -135,15 +149,16 @@ def xlsx_sheets(record: Column) -> Column:
         target = _first(F.filter(record["rels"], lambda r: r["rid"] == s["rid"]))["target"]
         return _first(F.filter(record["parts"], lambda p: p["path"] == refs.part_path(target, "xl")))
 
-    def linked(value, i, k, part):
-        links = links_of(part["rels"])
-        mine = F.filter(part["links"], lambda x: (refs.row_index(x["ref"]) == i) & (refs.col_index(x["ref"]) == k))
-        return let(value, lambda value: F.when(value == "", value).otherwise(F.aggregate(mine, value, lambda v, x: F.coalesce(F.concat(F.lit("["), v, F.lit("]("), target_of(links, x["rid"]), F.lit(")")), v))))
+    def linked(value, i, k, urls, links):
+        mine = F.coalesce(F.try_element_at(links, F.concat_ws(",", i.cast("string"), k.cast("string"))), F.array().cast("array<string>"))
+        return let(value, lambda value: F.when(value == "", value).otherwise(F.aggregate(mine, value, lambda v, rid: F.coalesce(F.concat(F.lit("["), v, F.lit("]("), F.try_element_at(urls, rid), F.lit(")")), v))))
 
     def rows(part, is_date):
         width = F.coalesce(F.array_max(F.transform(part["rows"], lambda r: F.array_max(F.transform(r["cells"], lambda c: c["col"])))), F.lit(-1)) + 1
         grid = let(width, lambda n: F.transform(part["rows"], lambda r: dense(r["cells"], n, lambda c: xlsx_value(c, record["shared"], is_date))))
-        with_links = lambda g: F.transform(g, lambda r, i: F.transform(r, lambda v, k: linked(v, i, k, part)))
+        place = lambda x: F.concat_ws(",", refs.row_index(x["ref"]).cast("string"), refs.col_index(x["ref"]).cast("string"))
+        of_cell = by_key(F.filter(part["links"], lambda x: x["rid"].isNotNull()), place, lambda mine: F.transform(mine, lambda x: x["e"]["rid"]))
+        with_links = lambda g: let(targets(links_of(part["rels"])), lambda urls: let(of_cell, lambda links: F.transform(g, lambda r, i: F.transform(r, lambda v, k: linked(v, i, k, urls, links)))))
         return let(grid, lambda g: F.when(F.size(part["links"]) > 0, with_links(g)).otherwise(g))
 
     shown = F.filter(record["sheets"], lambda s: (s["state"] != "hidden") & (s["name"] != "") & (s["rid"] != ""))
@@ -237,8 +252,7 @@ def slides_of(record: Column) -> Column:
         return F.struct(runs.alias("runs"), heading.alias("heading"), bullet.alias("bullet"), p["level"].alias("level"))
 
     def slide(s):
-        links = links_of(s["rels"])
-        shapes = F.transform(s["shapes"], lambda ps: F.filter(F.transform(ps, lambda p: paragraph(p, links)), lambda p: F.size(p["runs"]) > 0))
+        shapes = let(targets(links_of(s["rels"])), lambda links: F.transform(s["shapes"], lambda ps: F.filter(F.transform(ps, lambda p: paragraph(p, links)), lambda p: F.size(p["runs"]) > 0)))
         return F.struct(s["number"].alias("number"), F.filter(shapes, lambda ps: F.size(ps) > 0).alias("shapes"), s["pictures"].alias("pictures"))
 
     return F.transform(record["slides"], slide)

@@ -106,7 +106,7 @@ _IDS = "(x BETWEEN 14 AND 22 OR x BETWEEN 27 AND 36 OR x BETWEEN 45 AND 47 OR x
 STYLES = f"SELECT style_ix, x AS num_fmt_id, {_IDS} OR (x BETWEEN 150 AND 200 AND x % 3 = 0) AS is_date FROM (SELECT p_partkey AS style_ix, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 150 END AS x FROM part)"
 LINKS = """SELECT o_orderkey, CASE WHEN v = '' OR u IS NULL THEN v ELSE list_reduce(list_prepend(v, u), lambda a, b: '[' || a || '](' || b || ')') END AS value
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS v FROM orders)
-LEFT JOIN (SELECT l_orderkey, list('http://p/' || l_partkey ORDER BY l_linenumber, l_partkey) AS u FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) ON o_orderkey = l_orderkey"""
+LEFT JOIN (SELECT l_orderkey, list('http://p/' || l_partkey ORDER BY l_linenumber, l_partkey) AS u FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""
 
 _ANCHORS = """SELECT page_id, i - 1 AS ord, regexp_extract(a[i], 'href="([^"]*)"', 1) AS target, regexp_extract(a[i], '>([^<]*)<', 1) AS t
 FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', 0) AS a FROM pages), unnest(range(1, len(a) + 1)) AS u(i)"""

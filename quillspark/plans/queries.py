@@ -168,7 +168,7 @@ def style_dates(spark, d):
 def link_cells(spark, d):
     """Links of a cell nest, in order; empty cells get none."""
     cells = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("value"))
-    links = table(spark, d, "lineitem").where(F.col("l_linenumber") <= 2).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("http://p/"), s(x["l_partkey"]))).alias("urls"))
+    links = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("http://p/"), s(x["l_partkey"]))).alias("urls"))
     joined = cells.join(links, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", lookups.fold_links(F.col("value"), F.coalesce("urls", F.array().cast("array<string>"))).alias("value"))
 

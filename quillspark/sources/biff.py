@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from ..functions.binary import LANGUAGES, decode_bytes
+from ..functions.markup import HYPERLINK_REST, HYPERLINK_URL
 from ..functions.numbers import rk_number
 from .cfb import CompoundFile
 
@@ -226,9 +228,9 @@ def join_surrogates(units: str) -> str:
 
 
 def field_url(instruction: str) -> str | None:
-    import re
-
-    m = re.search(r'hyperlink\s*(?:"([^"]*)"?|([^\s\\"][^\s\\]*))', instruction, re.I)
+    """The URL after the first HYPERLINK keyword, quoted or bare."""
+    rest = re.search(HYPERLINK_REST, instruction)
+    m = rest and re.match(HYPERLINK_URL, rest[1])
     return (m[1] or m[2] or None) if m else None
 
 

@@ -31,7 +31,10 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return with_id(reader.load(path))
+    files = reader.load(path)
+    # the source pushes a filter on length down, so that the bytes of files beyond the limit are never loaded
+    big = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return with_id(files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content").unionAll(big))
 
 
 def with_id(files: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def detect(files: DataFrame, content: str = "content") -> DataFrame:
         return pa.array(out, pa.string())
 
     peek_udf = F.arrow_udf(peek, "string")
-    size = F.octet_length(F.col(content))
+    size = F.col("length") if "length" in files.columns else F.octet_length(F.col(content)).cast("long")
     too_big = size > MAX_BYTES
     kind = F.when(~too_big, container(content))
     out = files.withColumn("_kind", kind)

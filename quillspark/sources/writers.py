@@ -175,9 +175,9 @@ def xls(sheets: list[tuple], xfs: list[int] = (0,), formats: dict[int, str] | No
     return cfb.write({"Workbook": head + bounds + head_sst + record(EOF) + b"".join(bodies)})
 
 
-def doc(text: str, flags: int = 0x1000, lid: int = 0x409) -> bytes:
-    """A Word document of a character stream; it is written as UTF-16, padded to whole blocks of 256 bytes."""
-    raw = text.encode("utf-16-le")
+def doc(text: str | bytes, flags: int = 0x1000, lid: int = 0x409) -> bytes:
+    """A Word document of a character stream, written as UTF-16, or of bytes as they are."""
+    raw = text if isinstance(text, bytes) else text.encode("utf-16-le", "surrogatepass")
     head = bytearray(512)
     struct.pack_into("<HHHHHH", head, 0, 0xA5EC, 0xC1, 0, lid, 0, flags)
     struct.pack_into("<II", head, 24, 512, 512 + len(raw))

@@ -151,7 +151,7 @@ def test_files_and_streams(spark, tmp_path):
     (tmp_path / "in" / "deep" / "b.txt").write_bytes(w.pdf([["second"]]))
     rows = extract.extract(spark, str(tmp_path / "in"))
     assert sorted((r["format"], r["text"]) for r in rows.collect()) == [("docx", "first\n"), ("pdf", "second\n")]
-    assert extract.joined(rows).first()["text"] == "first\n\nsecond\n"
+    assert "".join(r["text"] for r in extract.joined(rows).collect()) == "first\n\nsecond\n"
     stream = ingest.extract_stream(spark, str(tmp_path / "in"))
     assert stream.isStreaming
     assert sorted(r["text"] for r in ingest.run_to_end(stream, "test").collect()) == ["first\n", "second\n"]

@@ -1,5 +1,6 @@
 """Column functions on the value pairs that define them."""
 
+import random
 import struct
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import binary, markup, numbers, refs, text
 from quillspark.operators import render
+from quillspark.sources import biff, readers
 
 
 def test_trim_is_unicode(values):
@@ -149,3 +151,26 @@ def test_field_urls(values, code, url):
     from quillspark.sources.biff import field_url
 
     assert values(markup.hyperlink_url, [code], "string") == [url] and field_url(code) == url
+
+
+def test_only_the_first_keyword_counts(values):
+    fields = ['HYPERLINK \\l "hyperlinkfoo"', 'x hyperlink "http://a" HYPERLINK "http://b"', "HYPERLINK", 'HyperLink\n"u', "hyperlink http://c\\l", "PAGE", 'HYPERLINK ""']
+    want = [None, "http://a", None, "u", "http://c", None, None]
+    assert values(markup.hyperlink_url, fields, "string") == want
+    assert [biff.field_url(f) for f in fields] == want
+
+
+def test_numbers_are_rounded_by_their_binary_value(values):
+    rng = random.Random(5)
+    ties = [(rng.randrange(10 ** rng.randint(1, 16)) * 10 + 5) / 1e11 for _ in range(3000)]
+    exact = [k / 2**11 for k in range(1, 4000, 2)]  # eleven binary places: true ties
+    some = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 15) for _ in range(2000)]
+    numbers_ = [x for t in ties + exact for x in (t, -t)] + some + [0.00000000005, -0.00000000005, 0.00000000015, 2.5e-11, 0.1 + 0.2]
+    got = values(numbers.format_number, numbers_, "double")
+    assert [(x, g) for x, g in zip(numbers_, got) if g != numbers.exact_number(x)] == []
+
+
+def test_size_guard_needs_no_bytes(spark):
+    files = spark.createDataFrame([(1, "a", 300 << 20, None), (2, "b", 8, bytearray(b"%PDF-1.4"))], "doc_id long, path string, length long, content binary")
+    got = {r["doc_id"]: r["error"] for r in readers.detect(files).collect()}
+    assert got[1] == "file too large: 300.0 MiB" and got[2] is None

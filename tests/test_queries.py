@@ -8,7 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillspark.plans.queries import QUERIES
+from quillspark.plans import file_queries, queries, relational
+
+QUERIES = queries.QUERIES | file_queries.QUERIES | relational.QUERIES
 
 SF = "/root/testdata/sf0.001"
 
