@@ -8,7 +8,7 @@ import struct
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c
+from .text import _c, let
 
 #: The built-in number format ids that are dates or times.
 DATE_FORMAT_IDS = [*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]
@@ -20,8 +20,9 @@ def format_number(c) -> Column:
     rounded, halves to even, as exact_number() does for one value (from 2^63 on, the shortest form's digits)."""
     c = _c(c).cast("double")
     size = F.abs(c)
-    units, tenths = _ten_decimals(size)
-    cut = F.regexp_replace(F.concat(F.when(c < 0, "-").otherwise(""), units.cast("string"), F.lit("."), F.lpad(tenths.cast("string"), 10, "0")), r"\.?0+\z", "")
+    units = F.floor(size).cast("long")
+    shown = lambda n: F.concat(F.when(c < 0, "-").otherwise(""), (units + F.when(n == 10**10, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % 10**10).cast("string"), 10, "0"))
+    cut = F.regexp_replace(let(size - units.cast("double"), lambda part: let(_ten_decimals(part), shown)), r"\.?0+\z", "")
     fixed = F.regexp_replace(F.format_string("%.10f", c), r"\.0+\z", "")
     return (
         F.when(F.isnan(c), "NaN")
@@ -33,23 +34,20 @@ def format_number(c) -> Column:
     )
 
 
-def _ten_decimals(size: Column) -> tuple[Column, Column]:
-    """The whole part, and the fraction in units of 10^-10, of a number from 0 to 2^53.
-
-    The fraction is exact in a double; its product with 10^10 is, together with the product's rounding error,
-    which Dekker's splitting gives."""
-    units = F.floor(size).cast("long")
-    part, scale, split = size - units.cast("double"), 1e10, float((1 << 27) + 1)
-    high = split * part - (split * part - part)
-    low = part - high
+def _ten_decimals(part: Column) -> Column:
+    """A fraction of 0 to 1, which is exact in a double, in units of 10^-10, halves to even.  Its product with 10^10
+    is exact together with the product's rounding error, which Dekker's splitting gives."""
+    scale, split = 1e10, float((1 << 27) + 1)
     scale_high = split * scale - (split * scale - scale)
     scale_low = scale - scale_high
-    product = part * scale
-    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
-    below = F.floor(product)
-    beyond = (product - below.cast("double") - 0.5) + error  # half a unit
-    n = below.cast("long") + F.when((beyond > 0) | ((beyond == 0) & (below % 2 == 1)), 1).otherwise(0)
-    return units + F.when(n == 10**10, 1).otherwise(0), F.when(n == 10**10, 0).otherwise(n)
+    product, below = part * scale, F.floor(part * scale)
+
+    def error(high):
+        low = part - high
+        return ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+
+    beyond = (product - below.cast("double") - 0.5) + let(split * part - (split * part - part), error)  # half a unit
+    return below.cast("long") + F.when(beyond >= F.when(below % 2 == 1, 0.0).otherwise(5e-324), 1).otherwise(0)
 
 
 def exact_number(x: float) -> str:
