@@ -197,6 +197,20 @@ def learn(pieces: list[str], r: Ranks) -> list[list[int]]:
     return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in of]
 
 
+#: Between pieces in a packed list: no text has it, as UTF-8 can't hold a lone surrogate.
+_BETWEEN = "\ud800"
+
+
+def pack_pieces(pieces: list[str]) -> tuple[bytes, int]:
+    """Pieces as compressed bytes, and their size before."""
+    raw = _BETWEEN.join(pieces).encode("utf-8", "surrogatepass")
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def unpack_pieces(body: bytes, size: int) -> list[str]:
+    return pa.decompress(body, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split(_BETWEEN)
+
+
 class _Index(dict):
     def __missing__(self, piece):
         n = self[piece] = len(self)
@@ -216,30 +230,31 @@ def decode_ids(ids: np.ndarray, r: Ranks) -> bytes:
 
 def _chunked(buckets: int):
     """Rows of kind 0: a chunk's doc_ids, pieces a document and indexes into its distinct pieces, which are
-    numbered by bucket; of kind 1: the pieces that it asks a bucket for."""
+    numbered by bucket; of kind 1: the pieces that it asks a bucket for, packed."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         index, names, flat, lengths, size, id_type = _Index(), [], [], [], 0, None
 
         def flush():
-            pieces = list(index)
-            at = np.fromiter((zlib.crc32(p.encode()) % buckets for p in pieces), np.int64, len(pieces))
+            sorted_pieces = sorted(index)  # neighbours share their beginnings, which packs well
+            at = np.fromiter((zlib.crc32(p.encode()) % buckets for p in sorted_pieces), np.int64, len(sorted_pieces))
             order = np.argsort(at, kind="stable")
+            pieces = [sorted_pieces[i] for i in order.tolist()]
             number_of = np.empty(len(pieces), "<u4")
-            number_of[order] = np.arange(len(pieces))
+            number_of[np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))] = np.arange(len(pieces))
             body = pa.compress(number_of[np.concatenate(flat)].tobytes(), "zstd", asbytes=True)
             chunk = part << 32 | number
             met, heads = np.unique(at[order], return_index=True)
             cuts = [*heads.tolist(), len(order)]
-            asked = [[pieces[i] for i in order[cuts[k] : cuts[k + 1]].tolist()] for k in range(len(met))]
+            asked = [pack_pieces(pieces[cuts[k] : cuts[k + 1]]) for k in range(len(met))]
             n, none = len(met), [None] * len(met)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([0] + [1] * n, pa.int32()), pa.array([chunk] * (n + 1), pa.int64()), pa.array([None, *met.tolist()], pa.int64()),
-                    pa.array([names, *none], pa.list_(id_type)), pa.array([lengths, *none], pa.list_(pa.int64())), pa.array([body, *none], pa.binary()), pa.array([None, *asked], pa.list_(pa.string())),
+                    pa.array([names, *none], pa.list_(id_type)), pa.array([lengths, *none], pa.list_(pa.int64())), pa.array([body, *(b for b, _ in asked)], pa.binary()), pa.array([0, *(size for _, size in asked)], pa.int64()),
                 ],
-                ["kind", "chunk", "bucket", "names", "lengths", "body", "pieces"],
+                ["kind", "chunk", "bucket", "names", "lengths", "body", "size"],
             )
 
         for rows, _, offsets in slices(batches, "text"):
@@ -284,12 +299,12 @@ def _answers(ranks_name: str):
 
         bucket, asked = None, []
         for batch in batches:
-            for b, chunk, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for b, chunk, body, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 if b != bucket and asked:
                     yield out(list(answer(asked)))
                     asked = []
                 bucket = b
-                asked.append((chunk, pieces.as_py()))
+                asked.append((chunk, unpack_pieces(body.as_py(), size)))
         if asked:
             yield out(list(answer(asked)))
 
@@ -303,8 +318,8 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, ranks_name: str, columns:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    chunked = stage_table(rows.mapInArrow(_chunked(4 * wide), f"kind int, chunk long, bucket long, names array<{kind}>, lengths array<long>, body binary, pieces array<string>"), "bpe_chunks")
-    asked = chunked.where("kind = 1").select("bucket", "chunk", "pieces").repartition(wide, "bucket").sortWithinPartitions("bucket", "chunk")
+    chunked = stage_table(rows.mapInArrow(_chunked(2 * wide), f"kind int, chunk long, bucket long, names array<{kind}>, lengths array<long>, body binary, size long"), "bpe_chunks")
+    asked = chunked.where("kind = 1").select("bucket", "chunk", "body", "size").repartition(wide, "bucket").sortWithinPartitions("bucket", "chunk")
     replies = asked.mapInArrow(_answers(ranks_name), "chunk long, bucket long, n long, body binary, size long")
 
     def finish(batches):

@@ -97,8 +97,8 @@ def test_every_piece_of_the_corpus_is_replayed_once(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
     monkeypatch.setattr(bpe, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
     made = [r for b in bpe._chunked(5)(iter([batch.slice(k, 4) for k in range(0, 60, 4)])) for r in b.to_pylist()]
-    asked = sorted((r["bucket"], r["chunk"], r["pieces"]) for r in made if r["kind"] == 1)
-    ask = pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked]), pa.array([a[1] for a in asked]), pa.array([a[2] for a in asked], pa.list_(pa.string()))], ["bucket", "chunk", "pieces"])
+    asked = sorted((r["bucket"], r["chunk"], bpe.unpack_pieces(r["body"], r["size"]), r["body"], r["size"]) for r in made if r["kind"] == 1)
+    ask = pa.RecordBatch.from_arrays([pa.array([a[k] for a in asked]) for k in (0, 1, 3, 4)], ["bucket", "chunk", "body", "size"])
     learnt = []
     learn = bpe.learn
     monkeypatch.setattr(bpe, "learn", lambda pieces, r: learnt.extend(pieces) or learn(pieces, r))
