@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import slices, stage_table, with_columns
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
 PART_BYTES = 16 << 20  # of text for each partition of buckets and of chunks
 #: Below it, str.isalpha() and the pattern's \\p{L} agree (tests try each character).
 _LETTERS_END = "\u0250"
@@ -199,16 +199,28 @@ def learn(pieces: list[str], r: Ranks) -> list[list[int]]:
 
 #: Between pieces in a packed list: no text has it, as UTF-8 can't hold a lone surrogate.
 _BETWEEN = "\ud800"
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def pack_pieces(pieces: list[str]) -> tuple[bytes, int]:
     """Pieces as compressed bytes, and their size before."""
     raw = _BETWEEN.join(pieces).encode("utf-8", "surrogatepass")
-    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+    return _ZSTD.compress(raw, asbytes=True), len(raw)
 
 
 def unpack_pieces(body: bytes, size: int) -> list[str]:
-    return pa.decompress(body, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split(_BETWEEN)
+    return _ZSTD.decompress(body, size, asbytes=True).decode("utf-8", "surrogatepass").split(_BETWEEN)
+
+
+def pack_numbers(*numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as compressed byte planes."""
+    flat = np.concatenate(numbers).astype("<u4")
+    return _ZSTD.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unpack_numbers(body: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(body, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 class _Index(dict):
@@ -229,8 +241,8 @@ def decode_ids(ids: np.ndarray, r: Ranks) -> bytes:
 
 
 def _chunked(buckets: int):
-    """Rows of kind 0: a chunk's doc_ids, pieces a document and indexes into its distinct pieces, which are
-    numbered by bucket; of kind 1: the pieces that it asks a bucket for, packed."""
+    """Rows of kind 0: a chunk's doc_ids, pieces a document, and in `body` the place by bucket of each of its distinct
+    pieces, then the documents' indexes into these; of kind 1: the pieces that it asks a bucket for, packed."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -243,7 +255,7 @@ def _chunked(buckets: int):
             pieces = [sorted_pieces[i] for i in order.tolist()]
             number_of = np.empty(len(pieces), "<u4")
             number_of[np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))] = np.arange(len(pieces))
-            body = pa.compress(number_of[np.concatenate(flat)].tobytes(), "zstd", asbytes=True)
+            body = pack_numbers(number_of, *flat)  # pieces count up as they come, so that frequent ones have small numbers
             chunk = part << 32 | number
             met, heads = np.unique(at[order], return_index=True)
             cuts = [*heads.tolist(), len(order)]
@@ -290,8 +302,8 @@ def _answers(ranks_name: str):
             starts = np.cumsum(counts) - counts
             for (chunk, _), at in zip(asked, where):
                 n = counts[at]
-                body = np.concatenate([n.astype("<u4"), flat[_runs(n, starts[at])]]).tobytes()
-                yield chunk, bucket, len(at), pa.compress(body, "zstd", asbytes=True), len(body)
+                mine = flat[_runs(n, starts[at])]
+                yield chunk, bucket, len(at), pack_numbers(n, mine), len(at) + len(mine)
 
         def out(rows):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
@@ -331,13 +343,16 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, ranks_name: str, columns:
                     met, got = chunk, []
                 body = batch.column(4)[i].as_py()
                 if bucket is not None:
-                    got.append((n, np.frombuffer(pa.decompress(body, size, "zstd", asbytes=True), "<u4")))
+                    got.append((n, unpack_numbers(body, size)))
                     continue
                 lengths = batch.column(6)[i].values.to_numpy()
-                flat = np.frombuffer(pa.decompress(body, 4 * int(lengths.sum()), "zstd", asbytes=True), "<u4")
+                pieces = sum(n for n, _ in got)
+                numbers = unpack_numbers(body, pieces + int(lengths.sum()))
+                order, flat = numbers[:pieces], numbers[pieces:]
                 counts = np.concatenate([x[:n] for n, x in got]).astype(np.int64)
                 ids = np.concatenate([x[n:] for n, x in got])
-                starts = np.cumsum(counts) - counts
+                starts = (np.cumsum(counts) - counts)[order]
+                counts = counts[order]
                 names = [" ".join(map(r.names.__getitem__, ids[a : a + n].tolist())) for a, n in zip(starts.tolist(), counts.tolist())]
                 yield from emit(pa.array(batch.column(5)[i].as_py(), id_type), flat, lengths, counts, starts, ids, names, r)
 
