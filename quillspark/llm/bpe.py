@@ -15,7 +15,8 @@ splits too.  Every distinct piece of the corpus is encoded once:
 A merge may in principle create a pair of a lower rank than its own.  The library would then apply
 that one first, so words where this happens are encoded one by one with the plain rule.
 
-The chunk table is written to the shared folder, so a lost executor's work is redone from there.
+The chunk table is written to the shared folder, so a lost executor's work is redone from there.  It lies
+in buckets of its chunks: only requests and answers travel, the documents' numbers stay where they are.
 
 Defined results: null or empty text: no ids, empty bytes; rows are encoded each for itself, so
 repeated rows give equal results; an empty table gives no rows; long texts are encoded whole; other
@@ -37,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, stage_table, with_columns
+from .common import bucketed_table, slices, with_columns
 
 CHUNK_BYTES = 16 << 20
 PART_BYTES = 16 << 20  # of text for each partition of buckets and of chunks
+TOGETHER = 2  # bits: four chunks of a task lie in one file and are finished together
 #: Below it, str.isalpha() and the pattern's \\p{L} agree (tests try each character).
 _LETTERS_END = "\u0250"
 _PLAIN = re.compile(r"\s | \s|^ | $")
@@ -330,36 +332,34 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, ranks_name: str, columns:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    chunked = stage_table(rows.mapInArrow(_chunked(2 * wide), f"kind int, chunk long, bucket long, names array<{kind}>, lengths array<long>, body binary, size long"), "bpe_chunks")
+    rows = rows.mapInArrow(_chunked(2 * wide), f"kind int, chunk long, bucket long, names array<{kind}>, lengths array<long>, body binary, size long")
+    together = F.shiftright("chunk", TOGETHER).alias("together")  # neighbours of one task
+    chunked = bucketed_table(rows.select("*", together), "bpe_chunks", "together", wide)
     asked = chunked.where("kind = 1").select("bucket", "chunk", "body", "size").repartition(wide, "bucket").sortWithinPartitions("bucket", "chunk")
-    replies = asked.mapInArrow(_answers(ranks_name), "chunk long, bucket long, n long, body binary, size long")
-
-    def finish(batches):
-        r, got, met = load(ranks_name), [], None
-        for batch in batches:
-            id_type = batch.schema.field(5).type.value_type
-            for i, (chunk, bucket, n, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-                if chunk != met:
-                    met, got = chunk, []
-                body = batch.column(4)[i].as_py()
-                if bucket is not None:
-                    got.append((n, unpack_numbers(body, size)))
-                    continue
-                lengths = batch.column(6)[i].values.to_numpy()
-                pieces = sum(n for n, _ in got)
-                numbers = unpack_numbers(body, pieces + int(lengths.sum()))
-                order, flat = numbers[:pieces], numbers[pieces:]
-                counts = np.concatenate([x[:n] for n, x in got]).astype(np.int64)
-                ids = np.concatenate([x[n:] for n, x in got])
-                starts = (np.cumsum(counts) - counts)[order]
-                counts = counts[order]
-                names = [" ".join(map(r.names.__getitem__, ids[a : a + n].tolist())) for a, n in zip(starts.tolist(), counts.tolist())]
-                yield from emit(pa.array(batch.column(5)[i].as_py(), id_type), flat, lengths, counts, starts, ids, names, r)
-
-    whole = chunked.where("kind = 0").select("chunk", F.lit(None).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), "body", "names", "lengths")
-    replies = replies.select("chunk", "bucket", "n", "size", "body", F.lit(None).cast(f"array<{kind}>").alias("names"), F.lit(None).cast("array<long>").alias("lengths"))
-    met = replies.unionByName(whole).repartition(wide, "chunk").sortWithinPartitions("chunk", F.col("bucket").asc_nulls_last())
-    return met.mapInArrow(finish, f"doc_id {kind}, {columns}").withColumnRenamed("doc_id", doc_id)
+    replies = asked.mapInArrow(_answers(ranks_name), "chunk long, bucket long, n long, body binary, size long").select("*", together)
+
+    def finish(whole, replies):
+        r, of = load(ranks_name), {}
+        for chunk, _, i in sorted(zip(replies["chunk"].to_pylist(), replies["bucket"].to_pylist(), range(len(replies)))):
+            of.setdefault(chunk, []).append(i)
+        packed, sizes, met = replies["body"], replies["size"].to_pylist(), replies["n"].to_pylist()
+        id_type, out = whole.schema.field("names").type.value_type, []
+        for k, chunk in enumerate(whole["chunk"].to_pylist()):
+            got = [(met[i], unpack_numbers(packed[i].as_py(), sizes[i])) for i in of.pop(chunk)]
+            lengths = whole["lengths"][k].values.to_numpy()
+            pieces = sum(n for n, _ in got)
+            numbers = unpack_numbers(whole["body"][k].as_py(), pieces + int(lengths.sum()))
+            order, flat = numbers[:pieces], numbers[pieces:]
+            counts = np.concatenate([x[:n] for n, x in got]).astype(np.int64)
+            ids = np.concatenate([x[n:] for n, x in got])
+            starts = (np.cumsum(counts) - counts)[order]
+            counts = counts[order]
+            names = [" ".join(map(r.names.__getitem__, ids[a : a + n].tolist())) for a, n in zip(starts.tolist(), counts.tolist())]
+            out += emit(pa.array(whole["names"][k].as_py(), id_type), flat, lengths, counts, starts, ids, names, r)
+        return pa.Table.from_batches(out)
+
+    whole = chunked.where("kind = 0").select("together", "chunk", "body", "names", "lengths")
+    return whole.groupBy("together").cogroup(replies.groupBy("together")).applyInArrow(finish, f"doc_id {kind}, {columns}").withColumnRenamed("doc_id", doc_id)
 
 
 def _documents(flat, lengths, counts, starts, ids):

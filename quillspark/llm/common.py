@@ -39,6 +39,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """stage_table with the rows in files by a hash of the key, so that grouping by it deals nothing out again.
+    The catalog's entry goes at once; the files stay, as the result is read from them."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    df.write.bucketBy(min(buckets, most), key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer, a bijection of 64-bit values."""
     x = x ^ (x >> _U(30))
