@@ -9,9 +9,9 @@ probabilities, of which one share is for unknown ones.
 
 Data flow; all of it grows with the input, and no text or table of words reaches the driver or one task:
 
-1. Chunks: each task turns its documents into runs of a few megabytes: the run's distinct tokens, and
-   for each document their indexes.  For each bucket of token hashes, a chunk asks for the counts of
-   its tokens there and tells its own training counts.
+1. Chunks: each task turns its documents into runs of a few megabytes: the run's distinct tokens, by
+   bucket of their hash, and for each document their indexes.  They are written once, in files by chunk.
+   From there each chunk asks, bucket by bucket, for the counts of its tokens and tells its training counts.
 2. Counts: a bucket's task sums these and answers each chunk; it also tells its most frequent tokens
    and its totals by ending.
 3. Statistics: how often each leaf follows each hashed context in training documents, from all chunks,
@@ -19,9 +19,9 @@ Data flow; all of it grows with the input, and no text or table of words reaches
    so that the table grows with it; the weights, which the driver holds, grow as its power 2/3.
 4. Training: each epoch sends the weights to the tasks that hold the statistics' partitions; their
    gradients are added up by blocks of features, and the driver takes a step (Adam) with the sum.
-5. Scores: each chunk meets its answers again and is scored in sparse numpy batches: of the weights
-   only those of a position's four features and of its own class and leaf are read; what normalises
-   them depends on the hashed context alone and is worked out once for each.
+5. Scores: the answers go to the files of their chunks, which are read where they lie and scored in sparse
+   numpy batches: of the weights only those of a position's four features and of its own class and leaf
+   are read; what normalises them depends on the hashed context alone and is worked out once for each.
 
 No task's memory grows with the input: a chunk, a bucket and the cells of a statistics part have fixed
 sizes, and parts are merged as they come.
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table
+from .common import bucketed_table, slices, stage_table
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
 END = b""
@@ -59,6 +59,7 @@ BLOCK = 512  # contexts that are handled at once
 PENDING = 1_000_000  # cells of a statistics part that wait to be added up
 FEATURE_BLOCK = 64  # features whose gradients are added up together
 BUCKET_BYTES = 32 << 20  # of text for each bucket of tokens
+TOGETHER = 2  # as a power of two: how many neighbouring chunks of a task lie in one file
 
 
 class Shape(NamedTuple):
@@ -99,33 +100,33 @@ class _Index(dict):
         return n
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of counts, which mostly are of zeros."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _chunked(buckets: int, schema: pa.Schema):
+    """For documents: chunks, with their tokens by bucket.  met: the buckets that have any; sizes: how many."""
+
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         index, names, runs, train, size = _Index(), [], [], [], 0
 
         def flush():
-            flat = np.concatenate(runs)
             lengths = np.array([len(r) for r in runs], np.int32)
             tokens = list(index)
-            learn = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(tokens)).astype(np.int64)
             kind = np.uint16 if len(tokens) <= 65536 else np.uint32
             at = np.array([zlib.crc32(t) % buckets for t in tokens], np.int64)
             order = np.argsort(at, kind="stable")
-            met, heads = np.unique(at[order], return_index=True)
-            cuts = [*heads.tolist(), len(order)]
-            chunk = part << 32 | number
-            rows = {k: [] for k in schema.names}
-
-            def add(**values):
-                for k in rows:
-                    rows[k].append(values.get(k))
-
-            add(kind=0, chunk=chunk, names=names, lengths=lengths, train=train, tokens=b"\n".join(tokens), width=np.dtype(kind).itemsize, body=flat.astype(kind).tobytes())
-            for k, b in enumerate(met.tolist()):
-                sub = order[cuts[k] : cuts[k + 1]]
-                add(kind=1, chunk=chunk, bucket=b, tokens=b"\n".join([tokens[i] for i in sub.tolist()]), body=learn[sub].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), schema.types)], schema=schema)
+            place = np.empty(len(tokens), kind)
+            place[order] = np.arange(len(tokens), dtype=kind)
+            met, sizes = np.unique(at, return_counts=True)
+            row = [part << 32 | number, names, lengths, train, b"\n".join([tokens[i] for i in order.tolist()]), met, sizes, place.itemsize, place[np.concatenate(runs)].tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
         for batch, data, offsets in slices(batches, "text"):
             raw = data.tobytes().lower()  # of bytes: A-Z only
@@ -147,6 +148,20 @@ def _chunked(buckets: int, schema: pa.Schema):
     return run
 
 
+def _requests(batches):
+    """For chunks: a row for each bucket that a chunk has tokens of, with these and their training counts."""
+    for batch in batches:
+        for chunk, lengths, train, tokens, met, sizes, width, body in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            use = np.repeat(np.array(train, bool), lengths)
+            learn = np.bincount(np.frombuffer(body, f"<u{width}")[use], minlength=sum(sizes))
+            ends = np.append(np.flatnonzero(np.frombuffer(tokens, np.uint8) == ord("\n")), len(tokens))
+            upto = np.cumsum(sizes)
+            stops = ends[upto - 1].tolist()
+            asked = [tokens[i:j] for i, j in zip([0, *(x + 1 for x in stops)], stops)]
+            told = [_planes(x) for x in np.split(learn, upto[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([chunk] * len(met), pa.int64()), pa.array(asked, pa.binary()), pa.array(told, pa.binary())], ["bucket", "chunk", "tokens", "body"])
+
+
 def _answers(batches, most: Shape):
     """For rows sorted by bucket: counts for each request; the bucket's most frequent tokens; totals by shared
     leaf of the largest shape that the input may need, of whose leaves those of smaller shapes are made up."""
@@ -156,9 +171,9 @@ def _answers(batches, most: Shape):
         total: dict[bytes, int] = {}
         get = total.get
         for _, tokens, body in asked:
-            for t, c in zip(tokens.split(b"\n"), np.frombuffer(body, np.int64).tolist()):
+            for t, c in zip(tokens.split(b"\n"), _of_planes(body).tolist()):
                 total[t] = get(t, 0) + c
-        rows = [(0, chunk, bucket, np.fromiter(map(total.__getitem__, tokens.split(b"\n")), np.int64).tobytes(), None, None, None) for chunk, tokens, _ in asked]
+        rows = [(0, chunk, bucket, _planes(np.fromiter(map(total.__getitem__, tokens.split(b"\n")), np.int64)), None, None, None) for chunk, tokens, _ in asked]
         seen = [(c, t) for t, c in total.items() if c]
         top = sorted(seen, key=lambda x: (-x[0], x[1]))[: most.own]
         rows += [(1, None, None, None, t, c, 1) for c, t in top]
@@ -367,14 +382,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
     buckets = max(64, size // BUCKET_BYTES)
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
 
-    spark_schema = f"kind int, chunk long, bucket int, names array<{kind}>, lengths array<int>, train array<boolean>, tokens binary, width int, body binary"
+    spark_schema = f"chunk long, names array<{kind}>, lengths array<int>, train array<boolean>, tokens binary, met array<int>, sizes array<int>, width int, body binary"
     name_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("names", pa.list_(name_type)), ("lengths", pa.list_(pa.int32())), ("train", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("width", pa.int32()), ("body", pa.binary())])
-    chunked = stage_table(rows.withColumn("train", ~held_out).mapInArrow(_chunked(buckets, schema), spark_schema), "lm_chunks")
-    chunks, asked = chunked.where("kind = 0"), chunked.where("kind = 1")
+    schema = pa.schema([("chunk", pa.int64()), ("names", pa.list_(name_type)), ("lengths", pa.list_(pa.int32())), ("train", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("met", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("body", pa.binary())])
+    together = F.shiftright("chunk", TOGETHER).alias("together")
+    chunks = rows.withColumn("train", ~held_out).mapInArrow(_chunked(buckets, schema), spark_schema)
+    chunks = bucketed_table(chunks.select("*", together), "lm_chunks", "together", wide)
+    asked = chunks.select("chunk", "lengths", "train", "tokens", "met", "sizes", "width", "body").mapInArrow(_requests, "bucket int, chunk long, tokens binary, body binary")
 
     most = Shape.of(size, step, scale)  # there are fewer tokens than bytes
-    answered = asked.select("bucket", "chunk", "tokens", "body").repartition(wide, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, most), "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
+    answered = asked.repartition(wide, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answers(batches, most), "kind int, chunk long, bucket int, counts binary, token binary, n long, v long")
     answered = stage_table(answered, "lm_counts")
     v_all = answered.where("kind = 2").agg(F.sum("v")).first()[0] or 0
     shape = Shape.of(v_all, step, scale)
@@ -446,37 +463,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
     normal = spark.sparkContext.broadcast(normal)
     per_class = shape.leaves // shape.classes
 
-    def finish(batches):
-        codes, answers = Codes(own, shape), {}
-        base = np.log10(float(n_all + v_all + 1))
-        inside = np.log10(own_n + own_v + 1.0)
-        for batch in batches:
-            for is_chunk, chunk, bucket, names, lengths, tokens, width, body in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if not is_chunk:
-                    answers.setdefault(chunk, {})[bucket] = body
-                    continue
-                words = tokens.split(b"\n")
-                at = np.array([zlib.crc32(t) % buckets for t in words], np.int64)
-                c = np.zeros(len(words), np.int64)
-                got = answers.pop(chunk)
-                c[np.argsort(at, kind="stable")] = np.concatenate([np.frombuffer(got[b], np.int64) for b in sorted(got)])
-                leaf, h1, h2 = codes.of(words)
-                flat, lengths = np.frombuffer(body, f"<u{width}").astype(np.int64), np.array(lengths, np.int64)
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                known = np.log10(c + 1.0)
-                in_leaf = np.where(leaf < len(own), 0.0, known - inside[leaf])
-                context, to = _contexts(flat, lengths, h1, h2, shape), leaf[flat]
-                group, w = to // per_class, sent.value
-                f = features(context, shape)
-                lp = sum(w[f[:, k], group] + w[f[:, k], shape.classes + to] for k in range(f.shape[1])) - normal.value[context, group]
-                lp = lp / np.log(10) + in_leaf[flat]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, name_type), pa.array(lengths), pa.array(np.add.reduceat((c > 0)[flat].astype(np.int64), starts)), pa.array(np.add.reduceat(known[flat], starts) - lengths * base), pa.array(np.add.reduceat(lp, starts))],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-    replies = answered.where("kind = 0").select(F.lit(0).alias("is_chunk"), "chunk", "bucket", F.lit(None).cast(f"array<{kind}>").alias("names"), F.lit(None).cast("array<int>").alias("lengths"), F.lit(None).cast("binary").alias("tokens"), F.lit(0).alias("width"), F.col("counts").alias("body"))
-    whole = chunks.select(F.lit(1).alias("is_chunk"), "chunk", F.lit(-1).alias("bucket"), "names", "lengths", "tokens", "width", "body")
-    met = replies.unionByName(whole).repartition(wide, "chunk").sortWithinPartitions("chunk", "is_chunk")
-    out = met.mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    codes = Codes(own, shape)
+    base = np.log10(float(n_all + v_all + 1))
+    inside = np.log10(own_n + own_v + 1.0)
+
+    def finish(whole, replies):
+        answers, out = {}, []
+        for chunk, _, counts in sorted(zip(*(replies[k].to_pylist() for k in ("chunk", "bucket", "counts")))):
+            answers.setdefault(chunk, []).append(_of_planes(counts))
+        for chunk, names, lengths, tokens, width, body in zip(*(whole[k].to_pylist() for k in ("chunk", "names", "lengths", "tokens", "width", "body"))):
+            c = np.concatenate(answers.pop(chunk))  # tokens lie by bucket
+            leaf, h1, h2 = codes.of(tokens.split(b"\n"))
+            flat, lengths = np.frombuffer(body, f"<u{width}").astype(np.int64), np.array(lengths, np.int64)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            known = np.log10(c + 1.0)
+            in_leaf = np.where(leaf < len(own), 0.0, known - inside[leaf])
+            context, to = _contexts(flat, lengths, h1, h2, shape), leaf[flat]
+            group, w = to // per_class, sent.value
+            f = features(context, shape)
+            lp = sum(w[f[:, k], group] + w[f[:, k], shape.classes + to] for k in range(f.shape[1])) - normal.value[context, group]
+            lp = lp / np.log(10) + in_leaf[flat]
+            columns = [pa.array(names, name_type), pa.array(lengths), pa.array(np.add.reduceat((c > 0)[flat].astype(np.int64), starts)), pa.array(np.add.reduceat(known[flat], starts) - lengths * base), pa.array(np.add.reduceat(lp, starts))]
+            out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.Table.from_batches(out)
+
+    replies = answered.where("kind = 0").select("chunk", "bucket", "counts", together)
+    whole = chunks.select("together", "chunk", "names", "lengths", "tokens", "width", "body")
+    out = whole.groupBy("together").cogroup(replies.groupBy("together")).applyInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").alias(doc_id), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard, quality, queries, scoring, toxicity
+from quillspark.llm import common, jaccard, quality, queries, scoring, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,6 +368,21 @@ def test_statistics_are_added_up_as_they_come(monkeypatch):
     assert got == {k: dict(v) for k, v in want.items()}
 
 
+def test_tokens_are_stored_once_and_sent_once(spark, monkeypatch, tmp_path):
+    """Disk: of nearly distinct tokens, one copy in the chunks, one in the requests; the chunks themselves don't travel."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.bytes(8).hex() for _ in range(2000))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    docs.write.parquet(f"{tmp_path}/docs")
+    before, docs = sent(), spark.read.parquet(f"{tmp_path}/docs")
+    assert len(scoring.score(docs, epochs=1).collect()) == 200
+    size = sum(len(t) for _, t in rows)
+    stored = sum(f.stat().st_size for d in tmp_path.glob("lm_*") for f in d.rglob("*.parquet"))
+    assert stored < 1.6 * size and sent() - before < 2 * size, (stored / size, (sent() - before) / size)
+
+
 def test_the_model_beats_the_base_on_held_out_text(spark):
     got = [r for r in queries.op5_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
