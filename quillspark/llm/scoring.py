@@ -56,10 +56,11 @@ FEATURES = 1 + H1 + H2 + H12
 STAT_PARTS = 8
 STEP = 1 << 15  # distinct training tokens up to which the sizes above hold; they double with each eightfold of it
 BLOCK = 512  # contexts that are handled at once
+POSITIONS = 1_000_000  # of a task that wait to be counted
 PENDING = 1_000_000  # cells of a statistics part that wait to be added up
 FEATURE_BLOCK = 64  # features whose gradients are added up together
 BUCKET_BYTES = 32 << 20  # of text for each bucket of tokens
-TOGETHER = 2  # as a power of two: how many neighbouring chunks of a task lie in one file
+TOGETHER = 32 << 20  # bytes of a task's neighbouring chunks, up to which they lie in one file and are finished together
 
 
 class Shape(NamedTuple):
@@ -113,7 +114,7 @@ def _chunked(buckets: int, schema: pa.Schema):
     """For documents: chunks, with their tokens by bucket.  met: the buckets that have any; sizes: how many."""
 
     def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
+        chunk, held = TaskContext.get().partitionId() << 32, 0  # part, group, number in the group
         index, names, runs, train, size = _Index(), [], [], [], 0
 
         def flush():
@@ -125,9 +126,12 @@ def _chunked(buckets: int, schema: pa.Schema):
             place = np.empty(len(tokens), kind)
             place[order] = np.arange(len(tokens), dtype=kind)
             met, sizes = np.unique(at, return_counts=True)
-            row = [part << 32 | number, names, lengths, train, b"\n".join([tokens[i] for i in order.tolist()]), met, sizes, place.itemsize, place[np.concatenate(runs)].tobytes()]
+            row = [chunk, names, lengths, train, b"\n".join([tokens[i] for i in order.tolist()]), met, sizes, place.itemsize, place[np.concatenate(runs)].tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
+        def following(b):
+            return (chunk + 1, held + b.nbytes) if held + b.nbytes < TOGETHER else (((chunk >> 16) + 1) << 16, 0)
+
         for batch, data, offsets in slices(batches, "text"):
             raw = data.tobytes().lower()  # of bytes: A-Z only
             ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -139,8 +143,8 @@ def _chunked(buckets: int, schema: pa.Schema):
                 train.append(bool(flag))
                 size += int(offsets[i + 1] - offsets[i])
                 if size >= CHUNK_BYTES or len(index) >= CHUNK_TOKENS:
-                    yield flush()
-                    number += 1
+                    yield (b := flush())
+                    chunk, held = following(b)
                     index, names, runs, train, size = _Index(), [], [], [], 0
         if runs:
             yield flush()
@@ -385,7 +389,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
     spark_schema = f"chunk long, names array<{kind}>, lengths array<int>, train array<boolean>, tokens binary, met array<int>, sizes array<int>, width int, body binary"
     name_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = pa.schema([("chunk", pa.int64()), ("names", pa.list_(name_type)), ("lengths", pa.list_(pa.int32())), ("train", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("met", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("body", pa.binary())])
-    together = F.shiftright("chunk", TOGETHER).alias("together")
+    together = F.shiftright("chunk", 16).alias("together")
     chunks = rows.withColumn("train", ~held_out).mapInArrow(_chunked(buckets, schema), spark_schema)
     chunks = bucketed_table(chunks.select("*", together), "lm_chunks", "together", wide)
     asked = chunks.select("chunk", "lengths", "train", "tokens", "met", "sizes", "width", "body").mapInArrow(_requests, "bucket int, chunk long, tokens binary, body binary")
@@ -429,7 +433,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", epochs: i
                 use = np.repeat(np.array(train, bool), lengths)
                 held.append((_contexts(flat, lengths, h1, h2, shape) * shape.leaves + leaf[flat])[use])
                 size += len(held[-1])
-                if size >= 4_000_000:
+                if size >= POSITIONS:
                     yield from flush()
                     held, size = [], 0
         if size:
