@@ -60,7 +60,7 @@ POSITIONS = 1_000_000  # of a task that wait to be counted
 PENDING = 1_000_000  # cells of a statistics part that wait to be added up
 FEATURE_BLOCK = 64  # features whose gradients are added up together
 BUCKET_BYTES = 32 << 20  # of text for each bucket of tokens
-TOGETHER = 32 << 20  # bytes of a task's neighbouring chunks, up to which they lie in one file and are finished together
+TOGETHER = 16 << 20  # bytes of a task's neighbouring chunks, up to which they lie in one file and are finished together
 
 
 class Shape(NamedTuple):
